@@ -58,22 +58,27 @@ class Grid:
     def parent(self, cell: Column, levels: int = 1) -> Column:
         return F.struct(*[F.shiftright(cell[f"g{i}"], levels).alias(f"g{i}") for i in range(len(self.coords))])
 
-    def around(self, cell: Column, radius_in_sides: float) -> Column:
-        """All cells that can hold a point within the radius, as an array."""
+    def offsets(self, radius_in_sides: float) -> Column:
+        """Offsets of all cells that can hold a point within the radius of a point in cell 0: a constant array."""
         reach = math.ceil(radius_in_sides)
         near = [
             offset
             for offset in itertools.product(range(-reach, reach + 1), repeat=len(self.coords))
             if sum(max(abs(o) - 1, 0) ** 2 for o in offset) <= radius_in_sides**2 * (1 + 1e-9)
         ]
-        return F.array(
-            *[F.struct(*[(cell[f"g{i}"] + F.lit(o)).alias(f"g{i}") for i, o in enumerate(offset)]) for offset in near]
+        structs = ", ".join(
+            "named_struct(" + ", ".join(f"'g{i}', {o}L" for i, o in enumerate(offset)) + ")" for offset in near
         )
+        return F.expr(f"array({structs})")
+
+    def shifted(self, cell: str, offset: str = "_offset") -> Column:
+        return F.expr("struct(" + ", ".join(f"{cell}.g{i} + {offset}.g{i} AS g{i}" for i in range(len(self.coords))) + ")")
 
     def cells(self, points: DataFrame, level: int) -> DataFrame:
-        """One row per occupied cell: ``cell``, the count ``n`` and the bounds of its points."""
+        """One row per occupied cell: ``cell``, the count ``n``, the least ``id`` and the bounds of its points."""
         return points.groupBy(self.cell(level).alias("cell")).agg(
             F.count("*").alias("n"),
+            F.min("id").alias("id"),
             *[F.min(c).alias(f"lo{i}") for i, c in enumerate(self.coords)],
             *[F.max(c).alias(f"hi{i}") for i, c in enumerate(self.coords)],
         )
@@ -87,15 +92,14 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def join_on_cell(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_on_cell(left: DataFrame, right: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
     """Inner join on cells where single cells of ``right`` may hold a large share of all rows.
 
-    Crowded cells of ``right`` are cut into slices by a hash of the row, and the matching rows of ``left`` are
-    repeated once per slice. Everything else joins as usual.
+    ``sizes`` has the row count ``n`` of the cells of ``right`` (small cells may be missing). Crowded cells are cut
+    into slices by a hash of the row, and the matching rows of ``left`` are repeated once per slice.
     """
-    slices = F.ceil(F.count("*") / F.lit(CELL_ROWS_PER_TASK)).cast("int")
-    crowded = right.groupBy(*keys).agg(slices.alias("_slices")).where("_slices > 1")
-    crowded = cut_lineage(crowded)
+    slices = F.ceil(F.col("n") / F.lit(CELL_ROWS_PER_TASK)).cast("int")
+    crowded = sizes.where(F.col("n") > CELL_ROWS_PER_TASK).select(*keys, slices.alias("_slices"))
     if crowded.isEmpty():
         return left.join(right, list(keys))
     crowded = broadcast_if_small(crowded)
@@ -106,18 +110,17 @@ def join_on_cell(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return repeated.drop("_slices").join(cut, [*keys, "_slice"]).drop("_slice")
 
 
-def near_points(grid: Grid, queries: DataFrame, points: DataFrame, max_per_cell: str) -> DataFrame:
+def near_points(grid: Grid, queries: DataFrame, points: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (query, point) within ``eps``, columns prefixed ``q_`` and ``p_``, plus ``dist``.
 
-    Only for queries that share their cells with few others (``max_per_cell`` says why): then the pairs stay
-    linear in the number of points however crowded a neighbouring cell is.
+    Only for queries that share their cells with at most a fixed number of others: then the pairs stay linear in
+    the number of points, however crowded a neighbouring cell is. ``sizes`` holds the level-0 cells of ``points``.
     """
-    del max_per_cell
-    left = prefixed(queries, "q_").withColumn(
-        "cell", F.explode(grid.around(grid.cell(0, ["q_" + c for c in grid.coords]), grid.eps / grid.side))
-    )
+    left = prefixed(queries.withColumn("home", grid.cell(0)), "q_")
+    left = left.withColumn("_offset", F.explode(grid.offsets(grid.eps / grid.side)))
+    left = left.withColumn("cell", grid.shifted("q_home")).drop("_offset", "q_home")
     right = prefixed(points.withColumn("cell", grid.cell(0)), "p_").withColumnRenamed("p_cell", "cell")
-    pairs = join_on_cell(left, right, ["cell"]).drop("cell")
+    pairs = join_on_cell(left, right, ["cell"], sizes).drop("cell")
     return pairs.withColumn("dist", grid.distance("q_", "p_")).where(F.col("dist") <= grid.eps)
 
 
@@ -145,12 +148,16 @@ def _classified(grid: Grid, pairs: DataFrame, level: int) -> DataFrame:
 
 
 def first_cell_pairs(grid: Grid, cells: DataFrame, ordered: bool) -> DataFrame:
-    """Pairs of neighbouring level-0 cells, classified; ``ordered`` keeps one of (a, b), (b, a) and no (a, a)."""
-    left = prefixed(cells, "a_").withColumn("b_cell", F.explode(grid.around(F.col("a_cell"), grid.eps / grid.side)))
+    """Pairs of neighbouring level-0 cells, classified; ``ordered`` keeps one of (a, b), (b, a) and no (a, a).
+
+    ``a_root`` and ``b_root`` name the level-0 cells by the least id inside; finer pairs inherit them.
+    """
+    left = prefixed(cells, "a_").withColumn("_offset", F.explode(grid.offsets(grid.eps / grid.side)))
+    left = left.withColumn("b_cell", grid.shifted("a_cell")).drop("_offset")
     if ordered:
         left = left.where("a_cell < b_cell")
-    pairs = left.join(prefixed(cells, "b_"), "b_cell").withColumns({"a_root": F.col("a_cell"), "b_root": F.col("b_cell")})
-    return _classified(grid, pairs, 0)
+    pairs = left.join(prefixed(cells, "b_"), "b_cell")
+    return _classified(grid, pairs.withColumnsRenamed({"a_id": "a_root", "b_id": "b_root"}), 0)
 
 
 def finer_cell_pairs(grid: Grid, points: DataFrame, pairs: DataFrame, level: int) -> DataFrame:
@@ -160,14 +167,17 @@ def finer_cell_pairs(grid: Grid, points: DataFrame, pairs: DataFrame, level: int
     """
     wanted = pairs.select(F.explode(F.array("a_cell", "b_cell")).alias("_up")).distinct()
     inside = points.withColumn("_up", grid.cell(level - 1)).join(broadcast_if_small(wanted), "_up", "left_semi")
-    parts = cut_lineage(grid.cells(inside, level)).withColumn("_up", grid.parent(F.col("cell")))
+    parts = cut_lineage(grid.cells(inside, level)).withColumn("_up", grid.parent(F.col("cell"))).drop("id")
     coarse = pairs.select(F.col("a_cell").alias("a__up"), F.col("b_cell").alias("b__up"), "a_root", "b_root")
     finer = coarse.join(prefixed(parts, "a_"), "a__up").join(prefixed(parts, "b_"), "b__up")
     return _classified(grid, finer.drop("a__up", "b__up"), level)
 
 
 def leaf_point_pairs(grid: Grid, points: DataFrame, pairs: DataFrame, level: int) -> DataFrame:
-    """Point pairs within ``eps`` of the given cell pairs: ``a_``/``b_`` columns, roots and ``dist``."""
+    """Point pairs within ``eps`` of the given cell pairs: ``a_``/``b_`` columns, roots and ``dist``.
+
+    Leaf cells hold at most ``LEAF_POINTS`` points, so the pairs are a fixed multiple of the cell pairs.
+    """
     located = points.withColumn("cell", grid.cell(level))
     cells = pairs.select("a_cell", "b_cell", "a_root", "b_root")
     joined = cells.join(prefixed(located, "a_"), "a_cell").join(prefixed(located, "b_"), "b_cell")

@@ -39,9 +39,10 @@ def labels_at(cores: DataFrame, radius: float, coords: Sequence[str] = ("x", "y"
     grid = Grid(tuple(coords), float(radius))
     cores = cores.select("id", *coords, F.when(F.col("core_dist") <= radius, F.col("core_dist")).alias("core_dist"))
     core = cores.where("core_dist is not null")
-    clusters = cut_lineage(core_components(grid, core).select("id", "cluster_id"))
-    border = border_clusters(grid, cores.where("core_dist is null"), core.join(clusters, "id"))
-    assigned = clusters.unionByName(border.select("id", "cluster_id"))
+    cells = cut_lineage(grid.cells(core, 0))
+    clusters = core_components(grid, core, cells)
+    border = border_clusters(grid, cores.where("core_dist is null"), clusters, cells)
+    assigned = clusters.select("id", "cluster_id").unionByName(border.select("id", "cluster_id"))
     return cores.join(assigned, "id", "left").select(
         "id",
         "core_dist",
@@ -50,44 +51,41 @@ def labels_at(cores: DataFrame, radius: float, coords: Sequence[str] = ("x", "y"
     )
 
 
-def core_components(grid: Grid, core: DataFrame) -> DataFrame:
-    """(id, cell, cluster_id) of core points: components of the cells that hold them.
+def core_components(grid: Grid, core: DataFrame, cells: DataFrame) -> DataFrame:
+    """The core points with ``cluster_id``: connected components of the level-0 ``cells`` that hold them.
 
     All core points of a level-0 cell are within eps of each other, so only cells need to be connected. Two cells
     are linked as soon as one pair of points within eps is certain; undecided pairs are cut finer.
     """
     located = core.select("id", *grid.coords)
-    cells = cut_lineage(grid.cells(located, 0))
     pairs = cut_lineage(first_cell_pairs(grid, cells, ordered=True))
-    level, links = 0, []
+    level, links, roots = 0, [], ["a_root", "b_root"]
     while True:
-        roots = ["a_root", "b_root"]
         linked = pairs.where("kind = 'full'").select(*roots).distinct()
-        close = pairs.where("kind = 'leaf'").join(linked, roots, "left_anti")
+        close = pairs.where("kind = 'leaf'")
+        if level > 0:
+            close = close.join(linked, roots, "left_anti")
         linked = linked.unionByName(leaf_point_pairs(grid, located, close, level).select(*roots).distinct())
-        linked = cut_lineage(linked)
         links.append(linked)
-        rest = pairs.where("kind = 'split'").drop("kind").join(linked, roots, "left_anti")
+        rest = pairs.where("kind = 'split'").drop("kind")
         if level >= LAST_LEVEL or rest.isEmpty():
             break
+        links[-1] = linked = cut_lineage(linked)
+        rest = rest.join(linked, roots, "left_anti")
         level += 1
         pairs = cut_lineage(finer_cell_pairs(grid, located, rest, level))
-    # Cells are named by the least core id they hold, which makes components and cluster names plain numbers.
-    named = cut_lineage(
-        located.groupBy(grid.cell(0).alias("cell")).agg(F.min("id").alias("cell_id"))
-    )
-    links = reduce(DataFrame.unionByName, links)
-    edges = links.join(named.toDF("a_root", "src"), "a_root").join(named.toDF("b_root", "dst"), "b_root")
-    components = connected_components(edges.select("src", "dst"), named.select(F.col("cell_id").alias("id")))
-    by_cell = named.join(components.toDF("cell_id", "cluster_id"), "cell_id").drop("cell_id")
-    return core.withColumn("cell", grid.cell(0)).join(by_cell, "cell").select("id", "cell", "cluster_id")
+    edges = reduce(DataFrame.unionByName, links).toDF("src", "dst")
+    components = connected_components(edges, cells.select("id"))  # cells go by the least core id inside
+    by_cell = cells.select("cell", "id").join(components, "id").select("cell", F.col("component").alias("cluster_id"))
+    return core.withColumn("cell", grid.cell(0)).join(by_cell, "cell").drop("cell")
 
 
-def border_clusters(grid: Grid, others: DataFrame, core: DataFrame) -> DataFrame:
-    """(id, reach_dist, core_id, cluster_id) of the non-core points that a core point reaches."""
-    pairs = near_points(
-        grid, others.select("id", *grid.coords), core, max_per_cell="a fuller cell holds core points only"
-    )
+def border_clusters(grid: Grid, others: DataFrame, core: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, reach_dist, core_id, cluster_id) of the non-core points that a core point reaches.
+
+    A cell with more points than ``min_pts`` holds core points only, so few non-core points share a cell.
+    """
+    pairs = near_points(grid, others.select("id", *grid.coords), core, cells)
     reach = F.greatest("p_core_dist", "dist")
-    best = F.min(F.struct(reach.alias("reach_dist"), F.col("p_id").alias("core_id"), F.col("p_cluster_id").alias("cluster_id")))
-    return pairs.groupBy(F.col("q_id").alias("id")).agg(best.alias("b")).select("id", "b.*")
+    best = F.struct(reach.alias("reach_dist"), F.col("p_id").alias("core_id"), F.col("p_cluster_id").alias("cluster_id"))
+    return pairs.groupBy(F.col("q_id").alias("id")).agg(F.min(best).alias("b")).select("id", "b.*")

@@ -63,62 +63,81 @@ def core_distances(
     if min_pts < 1:
         raise ValueError("min_pts must be at least 1")
     grid = Grid(tuple(coords), float(eps))
-    pending = points.select("id", *coords)
-    everything = pending
+    everything = pending = points.select("id", *coords)
     found: list[DataFrame] = []
     first = 0
     while True:
-        placed = cut_lineage(_search_levels(grid, pending, first, min_pts))
+        cells = cut_lineage(_cell_levels(grid, pending, first, min_pts))
+        located = pending.withColumn("cell", grid.cell(first + LEVELS_PER_PASS - 1))
+        placed = cut_lineage(located.join(cells.select("cell", "level", "same_place"), "cell").drop("cell"))
         found.append(placed.where("same_place").select("id", F.lit(0.0).alias("core_dist")))
-        searching = placed.where("level is not null")
-        found.append(_nearest(grid, searching, everything, first, min_pts))
+        sizes = _level_sizes(cells, first)
+        found.append(_nearest(grid, placed.where("level is not null"), everything, sizes, first, min_pts))
         pending = placed.where("level is null and not same_place").select("id", *coords)
         first += LEVELS_PER_PASS
-        if first > LAST_LEVEL or pending.isEmpty():
+        if pending.isEmpty():
+            break
+        if first > LAST_LEVEL:  # closer than cell numbers can tell: search the last level
+            rest = pending.withColumn("level", F.lit(first - 1))
+            found.append(_nearest(grid, rest, everything, sizes, first - LEVELS_PER_PASS, min_pts))
             break
-    if first > LAST_LEVEL:  # points closer than cell numbers can tell: search them at the last level
-        rest = pending.withColumn("level", F.lit(first - LEVELS_PER_PASS))
-        found.append(_nearest(grid, rest, everything, first - LEVELS_PER_PASS, min_pts))
     cores = reduce(DataFrame.unionByName, found)
     return points.join(cores, "id", "left")
 
 
-def _search_levels(grid: Grid, pending: DataFrame, first: int, min_pts: int) -> DataFrame:
-    """Add ``level``, NULL while every cell of this pass is too full, and ``same_place`` for piles of equal points."""
+def _cell_levels(grid: Grid, pending: DataFrame, first: int, min_pts: int) -> DataFrame:
+    """The cells of the pass's last level with the counts ``_n`` of the cells above them and two decisions.
+
+    ``level`` is the first level whose cell holds at most ``min_pts`` points, NULL while all are fuller;
+    ``same_place`` marks piles of more than ``min_pts`` equal points.
+    """
     last = first + LEVELS_PER_PASS - 1
     names = [f"_c{i}" for i in range(LEVELS_PER_PASS)]
-    fine = grid.cells(pending, last)
-    for i, name in enumerate(names):
-        fine = fine.withColumn(name, grid.parent(F.col("cell"), LEVELS_PER_PASS - 1 - i))
+    fine = grid.cells(pending, last).withColumns(
+        {name: grid.parent(F.col("cell"), LEVELS_PER_PASS - 1 - i) for i, name in enumerate(names)}
+    )
     # A cell has at most 2^(k * (LEVELS_PER_PASS - 1)) cells of the last level: these windows are small.
+    fine = fine.withColumns(
+        {f"_n{i}": F.sum("n").over(Window.partitionBy(*names[: i + 1])) for i in range(LEVELS_PER_PASS)}
+    )
     level = F.lit(None).cast("int")
     for i in reversed(range(LEVELS_PER_PASS)):
-        inside = F.sum("n").over(Window.partitionBy(*names[: i + 1]))
-        fine = fine.withColumn(f"_n{i}", inside)
         level = F.when(F.col(f"_n{i}") <= min_pts, first + i).otherwise(level)
-    same = F.lit(True)
-    for i in range(len(grid.coords)):
-        same = same & (F.col(f"lo{i}") == F.col(f"hi{i}"))
-    fine = fine.select("cell", level.alias("level"), (same & (F.col("n") > min_pts)).alias("same_place"))
-    return pending.withColumn("cell", grid.cell(last)).join(fine, "cell").drop("cell")
-
-
-def _nearest(grid: Grid, searching: DataFrame, points: DataFrame, first: int, min_pts: int) -> DataFrame:
-    """(id, core_dist) of the searching points that have enough others within their search radius."""
-    left = None
-    for level in range(first, first + LEVELS_PER_PASS):
-        radius = grid.eps if level == 0 else grid.eps / 2 ** (level - 1)
-        here = prefixed(searching.where(F.col("level") == level).drop("level", "same_place"), "q_")
-        sides = radius / (grid.side / 2**level)
-        cell = F.explode(grid.around(grid.cell(level, ["q_" + c for c in grid.coords]), sides))
-        here = here.select("*", F.lit(level).alias("level"), F.lit(radius).alias("radius"), cell.alias("cell"))
-        left = here if left is None else left.unionByName(here)
-    levels = F.array(*[F.lit(level) for level in range(first, first + LEVELS_PER_PASS)])
+    same = F.expr(" AND ".join(f"lo{i} = hi{i}" for i in range(len(grid.coords))))
+    return fine.withColumns({"level": level, "same_place": same & (F.col("n") > min_pts)})
+
+
+def _level_sizes(cells: DataFrame, first: int) -> DataFrame:
+    """(level, cell, n) of all cells of the pass. Points that earlier passes settled lie in cells too small to matter."""
+    stacked = F.array(
+        *[
+            F.struct(F.lit(first + i).alias("level"), F.col(f"_c{i}").alias("cell"), F.col(f"_n{i}").alias("n"))
+            for i in range(LEVELS_PER_PASS)
+        ]
+    )
+    return cells.select(F.explode(stacked).alias("s")).select("s.*").distinct()
+
+
+def _nearest(
+    grid: Grid, searching: DataFrame, points: DataFrame, sizes: DataFrame, first: int, min_pts: int
+) -> DataFrame:
+    """(id, core_dist) of the searching points that have enough others within their search radius.
+
+    The radius is eps at level 0 and the width limit of the cell above at finer levels.
+    """
+    widths = grid.eps / grid.side
+    radius = F.when(F.col("level") == 0, F.lit(grid.eps)).otherwise(F.lit(2 * grid.eps) / F.pow(F.lit(2.0), "level"))
+    offsets = grid.offsets(2 * widths)
+    if first == 0:
+        offsets = F.when(F.col("level") == 0, grid.offsets(widths)).otherwise(offsets)
+    named = [F.col(c).alias("q_" + c) for c in ("id", *grid.coords)]
+    left = searching.select(*named, "level", radius.alias("radius"), F.explode(offsets).alias("_offset"))
+    left = left.withColumn("_home", grid.cell(F.col("level"), ["q_" + c for c in grid.coords]))
+    left = left.withColumn("cell", grid.shifted("_home")).drop("_home", "_offset")
+    levels = F.sequence(F.lit(first), F.lit(first + LEVELS_PER_PASS - 1))
     right = prefixed(points, "p_").withColumn("level", F.explode(levels))
     right = right.withColumn("cell", grid.cell(F.col("level"), ["p_" + c for c in grid.coords]))
-    used = left.select("level", "cell").distinct()
-    right = right.join(used, ["level", "cell"], "left_semi")
-    pairs = join_on_cell(left, right, ["level", "cell"]).where("q_id <> p_id")
+    pairs = join_on_cell(left, right, ["level", "cell"], sizes).where("q_id <> p_id")
     near = pairs.withColumn("dist", grid.distance("q_", "p_")).where("dist <= radius").select("q_id", "dist", "p_id")
     nearest = smallest_per_key(near, ["q_id"], ["dist", "p_id"], min_pts)
     return nearest.where(F.col("rank") == min_pts).select(F.col("q_id").alias("id"), F.col("dist").alias("core_dist"))

@@ -17,12 +17,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     """
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     links = cut_lineage(links.distinct())
-    mark = _fingerprint(links)
-    while True:
+    while not _is_star_forest(links):
         links = cut_lineage(_small_star(_large_star(links)))
-        previous, mark = mark, _fingerprint(links)
-        if mark == previous:
-            break
     labels = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = labels.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
     labels = labels.unionByName(roots)
@@ -38,7 +34,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
     joined = both.where("v > u").join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -48,5 +44,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _is_star_forest(links: DataFrame) -> bool:
+    """Every u has one link, and no v has a link of its own: nothing is left to move."""
+    ends = F.array(
+        F.struct(F.col("u").alias("id"), F.lit(1).alias("own")), F.struct(F.col("v").alias("id"), F.lit(0).alias("own"))
+    )
+    roles = links.select(F.explode(ends).alias("e")).groupBy("e.id").agg(
+        F.sum("e.own").alias("own"), F.min("e.own").alias("least")
+    )
+    return roles.where("own > 1 OR (own = 1 AND least = 0)").isEmpty()
