@@ -1,6 +1,6 @@
 """All named queries. Importing a plan module registers its queries."""
 
-from sparkdense.plans import density, graphs, relational, sequences, sources  # noqa: F401
+from sparkdense.plans import density, graphs, learning, relational, sequences, sources  # noqa: F401
 from sparkdense.registry import ORACLES, QUERIES, Query
 
 

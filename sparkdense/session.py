@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     rows = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def metadata_table(spark: SparkSession, columns: dict[str, list], types: dict[str, str]) -> DataFrame:
+    """A few driver-side rows (splits, boxes, widths) as a local relation, which costs no job to read."""
+    table = spark.createDataFrame(pa.table(columns))
+    return table.select([F.col(name).cast(kind).alias(name) for name, kind in types.items()])

@@ -17,7 +17,8 @@ def cluster_report(result: DataFrame, points: DataFrame, cap: float, x: str = "x
     except in ``minD``, where the cap stands for them.
     """
     least = F.coalesce(F.least("reach_dist", "core_dist"), F.lit(cap))
-    return result.join(points.select("id", x, y), "id").select(
+    columns = ["id", "order_id", "reach_dist", "core_dist", "cluster_id", "is_core"]
+    return result.select(*columns).join(points.select("id", x, y), "id").select(
         F.col("id").alias("Pid"),
         F.col("order_id").alias("OPTid"),
         F.col(x).alias("Px"),
