@@ -275,8 +275,12 @@ def _by_leaf(inside: DataFrame, eps: float, coords: tuple[str, ...], max_local_p
     copies = tree.with_halo(inside.drop("radius"), radii)
     group = F.struct("cluster_id", "part_id")
     local = order_groups(copies.withColumn("_group", F.to_json(group)), "_group", coords).where("is_home").drop("_group")
-    local = cut_lineage(local)
-    ends = local.groupBy("cluster_id", "part_id").agg((F.max("order_id") + F.max("weight")).alias("w"))
+    # Halo copies took places of their own: close the gaps inside each leaf, then put leaf after leaf.
+    weight = F.when(F.col("order_id").isNotNull(), F.col("weight"))
+    earlier = Window.partitionBy("cluster_id", "part_id").orderBy(F.asc_nulls_last("order_id"))
+    place = F.coalesce(F.sum(weight).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = cut_lineage(local.withColumn("order_id", F.when(F.col("order_id").isNotNull(), place)))
+    ends = local.groupBy("cluster_id", "part_id").agg(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
     before = Window.partitionBy("cluster_id").orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.withColumn("start", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
     moved = local.join(starts, ["cluster_id", "part_id"]).withColumn("order_id", F.col("order_id") + F.col("start"))
