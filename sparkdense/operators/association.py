@@ -28,12 +28,12 @@ def pmi(pairs: DataFrame, min_count: int, top: int | None = None) -> DataFrame:
     frequent = counts.where(F.col("n") >= min_count)
     firsts = counts.groupBy("first").agg(F.sum("n").alias("n_first"))
     seconds = counts.groupBy("second").agg(F.sum("n").alias("n_second"))
-    total = counts.agg(F.sum("n").alias("n_total"))  # a single row
+    total = counts.agg(F.sum("n")).scalar()
     score = F.log2(F.col("n") * F.col("n_total") / (F.col("n_first") * F.col("n_second")))
     scored = (
         firsts.join(broadcast_if_small(frequent), "first")
         .join(seconds, "second")
-        .join(F.broadcast(total))
+        .withColumn("n_total", total)
         .select("first", "second", score.alias("pmi"))
     )
     strongest = scored.orderBy(F.desc("pmi"), F.desc("first"), F.desc("second"))

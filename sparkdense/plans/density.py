@@ -116,9 +116,9 @@ def label_boxes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     boxes = label_boxes(spark, sf).select("label", C.box(F.col("lower"), F.col("upper")).alias("b"))
-    other = boxes.agg(F.min_by("b", "label").alias("o"))  # a single row
-    middle = boxes.agg(((F.min(F.col("b.lower")[0]) + F.max(F.col("b.upper")[0])) / 2).alias("m"))  # a single row
-    both = boxes.join(F.broadcast(other)).join(F.broadcast(middle))
+    other = boxes.agg(F.min_by("b", "label")).scalar()
+    middle = boxes.agg((F.min(F.col("b.lower")[0]) + F.max(F.col("b.upper")[0])) / 2).scalar()
+    both = boxes.withColumns({"o": other, "m": middle})
     b, o = F.col("b"), F.col("o")
     left, _ = C.box_split(b, 0, F.col("m"))
     return both.select(
@@ -183,16 +183,19 @@ k{level + 1} AS (SELECT k.part, lx, CASE WHEN on_x THEN bound ELSE ux END AS ux,
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     points = plane(spark, sf)
-    stats = split_statistics(points.withColumn("part_id", F.lit(0)), ("x", "y"))  # a single row
+    stats = split_statistics(points.withColumn("part_id", F.lit(0)), ("x", "y"))
     on_x = F.col("var0") >= F.col("var1")
     chosen = stats.select(
-        on_x.alias("on_x"),
-        F.when(on_x, F.col("mean0")).otherwise(F.col("mean1")).alias("mean"),
-        F.sqrt(F.greatest("var0", "var1")).alias("deviation"),
-    )
+        F.struct(
+            on_x.alias("on_x"),
+            F.when(on_x, F.col("mean0")).otherwise(F.col("mean1")).alias("mean"),
+            F.sqrt(F.greatest("var0", "var1")).alias("deviation"),
+        )
+    ).scalar()
     bounds = [F.col("mean") + F.lit(f) * F.col("deviation") for f in BOUNDARY_FACTORS]
     value = F.when(F.col("on_x"), F.col("x")).otherwise(F.col("y"))
-    counted = points.join(F.broadcast(chosen)).groupBy("on_x", "mean", "deviation").agg(*balance(value, bounds))
+    chosen_side = points.withColumn("s", chosen).select("x", "y", "s.*")
+    counted = chosen_side.groupBy("on_x", "mean", "deviation").agg(*balance(value, bounds))
     candidates = F.array(*[F.struct(b.alias("bound"), F.col(f"b{i}").alias("balance")) for i, b in enumerate(bounds)])
     listed = counted.select("on_x", F.posexplode(candidates).alias("candidate", "c"))
     return listed.select("candidate", "on_x", F.round("c.bound", 9).alias("bound"), "c.balance")

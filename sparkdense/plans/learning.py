@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkdense.ml import text as M
 from sparkdense.registry import query, table
+from sparkdense.session import spread_if_small
 
 LABELS = {"0": 0, "1": 1}
 
@@ -16,7 +17,7 @@ BUCKET_SQL = "(('0x' || substr(md5(id::VARCHAR || '/0'), 1, 8))::BIGINT % 1000)"
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread_if_small(table(spark, sf, "documents").select("doc_id", "text"))
     outcomes = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("outcome"))
     return M.labelled_texts(documents.join(outcomes, "doc_id", "left"), "doc_id", "text", "outcome", LABELS)
 

@@ -12,7 +12,7 @@ from pyspark.sql.observation import Observation
 from sparkdense.functions import columns as C
 from sparkdense.operators import relational as R
 from sparkdense.registry import query, table
-from sparkdense.session import broadcast_if_small
+from sparkdense.session import broadcast_if_small, spread_if_small
 
 BRAND = "Brand#2"
 NET = "l_extendedprice * (1 - l_discount)"
@@ -236,8 +236,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     embeddings = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    first = embeddings.agg(F.min_by("embedding", "vec_id").alias("origin"))  # a single row
-    return embeddings.join(F.broadcast(first)).select(
+    first = embeddings.agg(F.min_by("embedding", "vec_id")).scalar()
+    return embeddings.withColumn("origin", first).select(
         "vec_id", F.round(C.vector_distance("embedding", "origin"), 6).alias("dist")
     )
 
@@ -282,9 +282,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     keys = table(spark, sf, "lineitem").select("l_partkey")
-    top = keys.agg((F.max("l_partkey") + 1).alias("n_keys"))  # a single row
+    n_keys = keys.agg(F.max("l_partkey") + 1).scalar()
     block = F.expr("l_partkey div (n_keys div 8)")
-    return keys.join(F.broadcast(top)).groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    return keys.withColumn("n_keys", n_keys).groupBy(block.alias("block")).agg(F.count("*").alias("n"))
 
 
 # --- joins -------------------------------------------------------------------------------------------------
@@ -541,7 +541,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         WHERE word <> '' GROUP BY word""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return R.word_count(table(spark, sf, "documents"), "text")
+    return R.word_count(spread_if_small(table(spark, sf, "documents").select("text")), "text")
 
 
 @query(
@@ -550,7 +550,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = table(spark, sf, "documents").select(F.explode(C.words("text")).alias("word"))
+    texts = spread_if_small(table(spark, sf, "documents").select("text"))
+    tokens = texts.select(F.explode(C.words("text")).alias("word"))
     return tokens.groupBy(F.length("word").alias("len")).agg(F.count("*").alias("n"))
 
 
@@ -578,7 +579,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # Each text is reduced to its own character set first, so the shuffle carries sets and not texts.
     per_text = F.array_distinct(C.characters("text"))
-    return table(spark, sf, "documents").select(F.explode(per_text).alias("ch")).distinct()
+    texts = spread_if_small(table(spark, sf, "documents").select("text"))
+    return texts.select(F.explode(per_text).alias("ch")).distinct()
 
 
 @query(
@@ -674,8 +676,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # Range blocks: one aggregate per key within the block, then per block; no key is seen by two blocks.
     keys = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    top = keys.agg((F.max("l_orderkey") + 1).alias("n_keys"))  # a single row
-    blocks = keys.join(F.broadcast(top)).withColumn("block", F.expr("l_orderkey div (n_keys div 8)"))
+    n_keys = keys.agg(F.max("l_orderkey") + 1).scalar()
+    blocks = keys.withColumn("n_keys", n_keys).withColumn("block", F.expr("l_orderkey div (n_keys div 8)"))
     return blocks.groupBy("block").agg(F.sum("k").alias("n"), F.count("*").alias("n_keys"))
 
 

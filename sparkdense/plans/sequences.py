@@ -10,6 +10,7 @@ from sparkdense.operators.association import adjacent_pairs, pmi
 from sparkdense.operators.kmeans import fit_centres, initial_centres, nearest_centre
 from sparkdense.operators.sequence import kth_smallest, max_subarray, positions, prefix_sum
 from sparkdense.registry import query, table
+from sparkdense.session import spread_if_small
 
 CENTS = "CAST(round(value * 100) AS BIGINT)"
 
@@ -85,7 +86,7 @@ FROM c JOIN f USING (first) JOIN s USING (second) WHERE n >= 100
 
 def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select("text").union(table(spark, sf, "conversations").select("text"))
-    return adjacent_pairs(texts, "text")
+    return adjacent_pairs(spread_if_small(texts), "text")
 
 
 @query("pmi_all", PMI_SQL)

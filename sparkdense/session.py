@@ -74,3 +74,13 @@ def metadata_table(spark: SparkSession, columns: dict[str, list], types: dict[st
     """A few driver-side rows (splits, boxes, widths) as a local relation, which costs no job to read."""
     table = spark.createDataFrame(pa.table(columns))
     return table.select([F.col(name).cast(kind).alias(name) for name, kind in types.items()])
+
+
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores before heavy per-row work, when it has no more input splits than cores.
+
+    A split holds at most ``spark.sql.files.maxPartitionBytes``, so this moves little data; a large table has
+    splits enough and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
