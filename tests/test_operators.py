@@ -192,3 +192,9 @@ def test_labels_from_outcomes(spark):
 def test_length_udf_keeps_null(spark):
     df = spark.createDataFrame([("abc",), (None,)], "s string")
     assert [r[0] for r in df.select(C.text_length_plus_two("s")).collect()] == [5, None]
+
+
+def test_task_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    assert "sparkdense" in cloudpickle.list_registry_pickle_by_value()
