@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     """(id, component) with the least id of each component; ``vertices`` adds those without an edge.
 
     Each round replaces neighbours by the least neighbour. Least values are partially aggregated before the
-    shuffle and joined back one row per vertex, so a hub's edges can be split over tasks by the skew join. The
-    number of rounds grows with the logarithm of the diameter.
+    shuffle and checkpointed, one row per vertex, so that both sides of the join back are plain shuffles and the
+    adaptive skew join can split a hub's edges over tasks. The number of rounds grows with the logarithm of the
+    diameter.
     """
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     links = cut_lineage(links.distinct())
@@ -32,14 +33,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
 def _large_star(links: DataFrame) -> DataFrame:
     """Connect every larger neighbour of u to the least vertex of u's neighbourhood."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
     joined = both.where("v > u").join(least, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect u and its smaller neighbours to the least of them; every link has u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    links = cut_lineage(links)
+    least = cut_lineage(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
