@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdense.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash, packing
+from sparkdense.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, minhash, packing, pii, toxicity
 from sparkdense.llm.common import crc32_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,29 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.learn(docs)).drop("text")
+
+
+def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of(F.col("doc_id")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.where(~held_out).join(labels.where(~held_out), "doc_id")
+    found = toxicity.score(docs, toxicity.learn(docs, labelled))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken")).drop("text")
 
 
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -69,7 +87,10 @@ FROM normal
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
+    "op4_noisy_channel": op4_noisy_channel,
     "op5_bpe": op5_bpe,
+    "op6_host_paths": op6_host_paths,
     "op7_minhash": op7_minhash,
     "op8_best_fit": op8_best_fit,
     "op9_metric_join": op9_metric_join,
