@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdense.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, minhash, packing, pii, toxicity
+from sparkdense.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, minhash, packing, pii, repeats, toxicity
 from sparkdense.llm.common import crc32_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.learn(docs)).drop("text")
 
 
+def op3_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_of(F.col("doc_id")) % 3 == 1
@@ -88,6 +92,7 @@ FROM normal
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op3_linear_grouping": op3_linear_grouping,
     "op4_noisy_channel": op4_noisy_channel,
     "op5_bpe": op5_bpe,
     "op6_host_paths": op6_host_paths,
