@@ -37,7 +37,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 _DISGUISED = re.compile(r"[a-zà-ÿ][0-9@$!|+(€£¡*._\-]+[a-zà-ÿ]|^[0-9@$!|(€£¡]+[a-zà-ÿ]|([a-zà-ÿ])\1\1", re.I)
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_]){2,}(?![^\W_])")
 _EDGE = re.compile(r"^[^\w@$!|(€£¡]+|[^\w@$€£]+$")
 _WORDS = re.compile(r"\S+")
 
