@@ -5,9 +5,10 @@ none of the 28 bands with probability (1 - 0.8^4)^28, below 4e-7. Of each minimu
 into seven longs; the number of equal low bits, corrected for chance collisions, estimates the similarity and dismisses
 pairs far below the threshold (over six standard deviations). What is left is confirmed on the full sets.
 
-Rows of equal sets are one class from the start. In each bucket one pivot (then 8, then 64, then all that are still
-apart) is compared with the members of other components, so a large group of near copies costs about as many pairs as
-it has members, and no pair of different components goes uncompared.
+Rows of equal sets are one class from the start. In each bucket one pivot is compared with all members, so a large
+group of near copies costs about as many pairs as it has members. Members that are still apart from the pivot's
+component are then compared with all members of other components, first by finer signatures of 1,024 minima and each
+pair in the least bucket it shares, so no pair of different components goes uncompared.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from sparkdense.llm.common import append_columns, stored
 BANDS, ROWS_PER_BAND, LOW_BITS = 28, 4, 4
 MINIMA = BANDS * ROWS_PER_BAND
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIVOTS = (1, 8, 64)
+FINE_MINIMA = 1024
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -75,15 +76,17 @@ class Shingler:
 
 
 _RANDOM = np.random.default_rng(20240229)
-_FACTOR = _RANDOM.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+_FACTOR = _RANDOM.integers(1, 1 << 63, FINE_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RANDOM.integers(0, 1 << 63, FINE_MINIMA, dtype=np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(shingles: np.ndarray, number: int = MINIMA) -> np.ndarray:
+    factor, shift = _FACTOR[:number], _SHIFT[:number]
+    least = np.full(number, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = max(1, (1024 * MINIMA) // number)
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 1024):
-            part = shingles[i : i + 1024, None] * _FACTOR + _SHIFT
+        for i in range(0, len(shingles), step):
+            part = shingles[i : i + step, None] * factor + shift
             least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
     return least
 
@@ -134,34 +137,41 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set_key and the full set as one binary of sorted 64-bit shingle hashes."""
-    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("full", T.BinaryType())]
+    """doc_id, set_key, the full set as one binary of sorted 64-bit shingle hashes, and the low bits of 1,024 minima."""
+    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("full", T.BinaryType()), T.StructField("fine", T.ArrayType(T.LongType()))]
 
     def make():
         shingler = Shingler(words)
 
         def work(texts):
-            sets = [shingler.shingles(t).tobytes() for t in texts]
-            return [[hashlib.blake2b(x, digest_size=16).digest() for x in sets], sets]
+            sets = [shingler.shingles(t) for t in texts]
+            fine = [packed_low_bits(minima(x, FINE_MINIMA)) for x in sets]
+            sets = [x.tobytes() for x in sets]
+            return [[hashlib.blake2b(x, digest_size=16).digest() for x in sets], sets, fine]
 
         return work
 
     return append_columns(docs.select("doc_id", "text"), fields, ["text"], make).drop("text")
 
 
-def _estimate_allows(percent: int):
-    """True unless the collision-corrected estimate lies six standard deviations below the threshold."""
+def _estimate_allows(percent: int, column: str = "low_bits", number: int = MINIMA, deviations: float = 6):
+    """True unless the collision-corrected estimate lies ``deviations`` below the threshold."""
     threshold = percent / 100
     collide = 1 / (1 << LOW_BITS)
     equal = threshold + (1 - threshold) * collide
-    least = MINIMA * equal - 6 * (MINIMA * equal * (1 - equal)) ** 0.5
-    differing = F.lit(0)
-    for i in range(MINIMA // 16):
-        x = F.col("a.low_bits")[i].bitwiseXOR(F.col("b.low_bits")[i])
+    least = number * equal - deviations * (number * equal * (1 - equal)) ** 0.5
+
+    def differing(x, y):
+        x = x.bitwiseXOR(y)
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = differing + F.bit_count(x)
-    return (F.lit(MINIMA) - differing) >= F.lit(least)
+        return F.bit_count(x)
+
+    a, b = F.col(f"a.{column}"), F.col(f"b.{column}")
+    total = F.lit(0)
+    for i in range(number // 16):
+        total = total + differing(a[i], b[i])
+    return (F.lit(number) - total) >= F.lit(least)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,12 +220,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     candidates = stored(in_buckets.select("rep").distinct().join(reps.select("rep", "set_key"), "rep"), "candidates")
     texts = docs.select("doc_id", "text").join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = full_sets(texts, words).withColumnRenamed("doc_id", "rep")
-    sets = stored(sets.join(candidates, ["rep", "set_key"], "left_semi").groupBy("rep").agg(F.min("full").alias("full")), "sets")
+    sets = stored(sets.join(candidates, ["rep", "set_key"], "left_semi").groupBy("rep").agg(F.min(F.struct("full", "fine")).alias("x")).select("rep", "x.full", "x.fine"), "sets")
     links, labels = ties, None
     if not ties.isEmpty():
         labels = stored(connected_components(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
-    for pivots in (*PIVOTS, None):
-        found = _links_of_round(in_buckets, sets, labels, pivots, percent)
+    for apart in (False, True):
+        found = _links_of_round(in_buckets, reps, sets, labels, apart, percent)
         if found is None:
             break
         links = stored(links.unionByName(found), "links")
@@ -230,11 +240,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links_of_round(in_buckets: DataFrame, sets: DataFrame, labels: DataFrame | None, pivots: int | None, percent: int):
-    """Confirmed links between the round's pivots and members of other components; None when no bucket is open.
+def _links_of_round(in_buckets: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame | None, apart: bool, percent: int):
+    """Confirmed links of members of different components of a bucket; None when no bucket is open.
 
-    A bucket is open while it holds more than one component. The first pivot is its least member; later ones are
-    members outside the component of that one. None takes them all, which compares every pair that is still apart.
+    A bucket is open while it holds more than one component. At first its least member is compared with all others;
+    with ``apart``, all members outside the component of that one are.
     """
     if labels is None:
         placed = in_buckets.withColumn("component", F.col("rep"))
@@ -248,19 +258,19 @@ def _links_of_round(in_buckets: DataFrame, sets: DataFrame, labels: DataFrame |
     spans = stored(spans.where("low < high").select("bucket", "main"), "open")
     if spans.isEmpty():
         return None
-    if pivots == 1:
-        chosen = spans.select("bucket", "main.*")
-    else:
-        apart = placed.join(spans, "bucket").where("component <> main.component").select("bucket", "rep", "component", "low_bits")
-        if pivots is None:
-            chosen = apart
-        else:
-            # one member for each slot of the bucket, by hash
-            slot = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-            one = apart.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "component", "low_bits")).alias("one"))
-            chosen = one.select("bucket", "one.*")
-    a, b = stored(chosen, "pivots").alias("a"), placed.alias("b")
     likely = (F.col("a.component") != F.col("b.component")) & _estimate_allows(percent)
+    if apart:
+        opened = placed.join(spans.select("bucket", F.col("main.component").alias("main")), "bucket")
+        opened = opened.join(reps.select("rep", "bands"), "rep").join(sets.select("rep", "fine"), "rep")
+        members = stored(opened, "opened")
+        chosen = stored(members.where("component <> main"), "apart")
+        # a pair of which both are apart is taken once, and in the least bucket that it shares
+        likely = likely & _estimate_allows(percent, "fine", FINE_MINIMA, 5)
+        likely = likely & ((F.col("b.component") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
+        likely = likely & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket"))
+    else:
+        members, chosen = placed, spans.select("bucket", "main.*")
+    a, b = chosen.alias("a"), members.alias("b")
     pairs = b.join(a, (F.col("a.bucket") == F.col("b.bucket")) & likely)
     pairs = pairs.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
     return _confirmed(stored(pairs, "pairs"), sets, percent)

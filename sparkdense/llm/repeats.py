@@ -172,26 +172,26 @@ def _anchor_rows(keyed: DataFrame, length: int, window: int) -> DataFrame:
     return found.select("d", "tag", zipped).select("d", "tag", "a.*")
 
 
-_CONTEXT = T.StructType(
-    [
-        T.StructField("d", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("key", T.LongType()),
-        T.StructField("at", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()),
-        T.StructField("digest", T.BinaryType()), T.StructField("context", T.BinaryType()),
-    ]
-)
+_RANGE = [T.StructField(c, T.LongType()) for c in ("key", "at", "first", "last")]
+_BYTES = [T.StructField("digest", T.BinaryType()), T.StructField("context", T.BinaryType())]
+#: the starts of one representative in a document
+_CONTEXT = T.StructType([T.StructField("d", T.LongType()), T.StructField("tag", T.LongType()), *_RANGE, *_BYTES])
+#: starts of a class of equal contexts: owner is the digest of the class they first belonged to, n its documents
+_CLASS = T.StructType([T.StructField("owner", T.BinaryType()), *_RANGE, *_BYTES, T.StructField("n", T.LongType())])
 
 
 class _Emitter:
     """Context rows of one task; the bytes of equal contexts are sent once by each task."""
 
-    def __init__(self):
-        self.arrow = to_arrow_schema(_CONTEXT)
+    def __init__(self, schema: T.StructType):
+        self.arrow = to_arrow_schema(schema)
         self.seen: set[bytes] = set()
-        self.rows: list[list] = [[] for _ in _CONTEXT.fields]
+        self.rows: list[list] = [[] for _ in schema.fields]
         self.held = 0
 
-    def add(self, d: int, tag: int, key: int, at: int, first: int, last: int, context: bytes) -> None:
+    def add(self, before: tuple, context: bytes, after: tuple = ()) -> None:
         # classes are told apart by 128-bit digests of the context and of where its starts lie from the anchor
+        *_, at, first, _ = before
         digest = hashlib.blake2b(context, digest_size=16, salt=(at - first).to_bytes(8, "little", signed=True)).digest()
         if digest in self.seen:
             context = None
@@ -200,12 +200,12 @@ class _Emitter:
                 self.seen.clear()
             self.seen.add(digest)
             self.held += len(context)
-        for column, value in zip(self.rows, (d, tag, key, at, first, last, digest, context), strict=True):
+        for column, value in zip(self.rows, (*before, digest, context, *after), strict=True):
             column.append(value)
 
     def batch(self) -> pa.RecordBatch:
         made = [pa.array(v, type=f.type) for v, f in zip(self.rows, self.arrow, strict=True)]
-        self.rows, self.held = [[] for _ in _CONTEXT.fields], 0
+        self.rows, self.held = [[] for _ in self.rows], 0
         return pa.RecordBatch.from_arrays(made, schema=self.arrow)
 
     def full(self) -> bool:
@@ -221,12 +221,12 @@ def _contexts(keyed: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     joined = keyed.select("d", "tag", "bytes").join(stored(by_doc, "by-doc"), ["d", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Emitter()
+        out = _Emitter(_CONTEXT)
         for batch in batches:
             for i in range(batch.num_rows):
                 d, tag, text, *lists = (batch.column(c)[i].as_py() for c in range(7))
                 for at, key, first, last in zip(*lists, strict=True):
-                    out.add(d, tag, key, at, first, last, text[first : last + length])
+                    out.add((d, tag, key, at, first, last), text[first : last + length])
                     if out.full():
                         yield out.batch()
         yield out.batch()
@@ -234,14 +234,13 @@ def _contexts(keyed: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, _CONTEXT)
 
 
-def _narrower(contexts: DataFrame, width: int, length: int) -> DataFrame:
-    """The same starts in ranges of at most ``width``, keyed by the bytes that all strings of a range share."""
+def _narrower(classes: DataFrame, width: int, length: int) -> DataFrame:
+    """The starts of classes in ranges of at most ``width``, keyed by the bytes that all strings of a range share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Emitter()
+        out = _Emitter(_CLASS)
         for batch in batches:
-            for i in range(batch.num_rows):
-                d, tag, key, at, first, last, _, context = (batch.column(c)[i].as_py() for c in range(8))
+            for owner, key, at, first, last, _, context, n in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 start = first
                 while start <= last:
                     # ranges are aligned by their distance from the anchor, as in every equal string, and named by
@@ -252,13 +251,13 @@ def _narrower(contexts: DataFrame, width: int, length: int) -> DataFrame:
                     core = context[high - first : high - width + 1 - first + length]
                     name = hashlib.blake2b(core, digest_size=8, key=block.to_bytes(8, "little", signed=True)).digest()
                     own = int.from_bytes(name, "little", signed=True) ^ key
-                    out.add(d, tag, own, at, start, end, context[start - first : end - first + length])
+                    out.add((owner, own, at, start, end), context[start - first : end - first + length], (n,))
                     start = end + 1
                 if out.full():
                     yield out.batch()
         yield out.batch()
 
-    return contexts.mapInArrow(run, _CONTEXT)
+    return classes.mapInArrow(run, _CLASS)
 
 
 def _repeated_in_group(length: int):
@@ -313,10 +312,16 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     keyed = _keyed(docs)
     anchors = stored(_anchor_rows(keyed, length, window), "anchors")
     contexts = stored(_contexts(keyed, anchors, length), "contexts")
+    same = contexts.groupBy("key", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max("context").alias("context"), F.max(F.col("at") - F.col("first")).alias("at"),
+        F.max(F.col("last") - F.col("first")).alias("last"),
+    )
+    first = F.lit(0).cast("long").alias("first")
+    level = stored(same.select(F.col("digest").alias("owner"), "key", "at", first, "last", "digest", "context", "n"), "classes")
     found = None
     for width in (*WIDTHS, None):
-        classes = contexts.groupBy("key", "digest").agg(
-            F.count(F.lit(1)).alias("n"), F.max("context").alias("context"), F.max(F.col("last") - F.col("first")).alias("span")
+        classes = level.groupBy("key", "digest").agg(
+            F.sum("n").alias("n"), F.max("context").alias("context"), F.max(F.col("last") - F.col("first")).alias("span")
         )
         classes = stored(classes, "classes")
         groups = stored(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "groups")
@@ -324,26 +329,27 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
         # once a context is a single string, different contexts of one hash are different strings
         small = groups.where(F.col("classes") <= (MAX_CLASSES if width else 0)).select("key")
         run, schema = _repeated_in_group(length)
-        members = classes.where("n = 1 OR n > 1").join(small, "key").select("key", "digest", "span", "context")
-        tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        sorted_members = members.repartition(tasks, "key").sortWithinPartitions("key")
-        equal = copies.unionByName(sorted_members.mapInArrow(run, schema))
-        equal = stored(equal.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("hits")), "equal")
-        here = contexts.select("d", "tag", "first", "digest").join(equal, "digest").select(
-            "d", "tag", F.transform("hits", lambda x: F.struct((F.col("first") + x["low"]).alias("low"), (F.col("first") + x["high"] + length).alias("high"))).alias("hits")
-        )
+        members = classes.join(small, "key").select("key", "digest", "span", "context")
+        tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        solved = members.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+        equal = stored(copies.unionByName(solved), "equal")
+        here = level.select("owner", "digest", "first").join(equal, "digest")
+        here = here.select("owner", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
         found = here if found is None else found.unionByName(here)
         if width is None:
             break
         large = stored(groups.where(F.col("classes") > MAX_CLASSES).select("key"), "large")
         if large.isEmpty():
             break
-        # every row of a large group needs its bytes again: they come from its class
-        wide = contexts.drop("context").join(large, "key").join(classes.select("key", "digest", "context"), ["key", "digest"])
-        contexts = stored(_narrower(wide.select(*_CONTEXT.names), width, length), "contexts")
-    found = stored(found, "hits")
-    spans = found.select("d", "tag", F.explode("hits").alias("x")).select("d", "tag", "x.low", "x.high").distinct()
-    return spans.groupBy("d", "tag").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+        whole = level.drop("context").join(large, "key").join(classes.select("digest", "context"), "digest")
+        level = stored(_narrower(whole.select(*_CLASS.names), width, length), "narrower")
+    by_class = found.distinct().groupBy("owner").agg(F.collect_list(F.struct("low", "high")).alias("hits"))
+    hits = contexts.select("d", "tag", "first", F.col("digest").alias("owner")).join(stored(by_class, "hits"), "owner")
+    runs = F.transform(
+        "hits", lambda x: F.struct((F.col("first") + x["low"]).alias("low"), (F.col("first") + x["high"] + length).alias("high"))
+    )
+    by_doc = hits.select("d", "tag", runs.alias("runs")).groupBy("d", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return by_doc.select("d", "tag", F.array_sort(F.array_distinct("runs")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_kept: bool = False) -> DataFrame:
