@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdense.density.grid import Grid, near_points
-from sparkdense.density.labels import NOISE, core_components, labels_at
+from sparkdense.density.labels import NOISE, border_clusters, core_components, labels_at
 from sparkdense.density.neighbours import core_distances
 from sparkdense.density.partition import KDTree, build_kdtree, leaf_radii
 from sparkdense.graph.components import connected_components
@@ -132,8 +132,9 @@ class DensityOrdering:
         """The best copy of each point with its global ``cluster_id`` (-1 for noise) at ``radius``.
 
         Two local clusters are one when they share a core point: the home leaf of a core point sees every
-        neighbour, so no link is missed. Where halos had to be narrower than ``radius`` the clusters come from the
-        exact set-based labels instead.
+        neighbour, so no link is missed. Any other point joins the cluster of the core point that reaches it at the
+        least (reach, id) at this radius, measured anew: a reach recorded at a larger radius is that of another core
+        point. Where halos had to be narrower than ``radius`` the same clusters come from cells instead.
         """
         radius = self.eps if radius is None else radius
         if radius > self.eps:
@@ -143,12 +144,23 @@ class DensityOrdering:
             chosen = best_copies(self.copies.withColumn("local_cluster", F.lit(None).cast("bigint")))
             labelled = chosen.drop("local_cluster").join(exact, "id")
         else:
-            labelled = self._merged(radius)
+            labelled = self._with_borders(self._merged(radius), radius)
         is_core = F.coalesce(F.col("core_dist") <= radius, F.lit(False))
         return labelled.withColumn("is_core", is_core).select(
             "id", *self.coords, "part_id", "order_id", "reach_dist", "core_dist", "is_core", "cluster_id"
         )
 
+    def _with_borders(self, merged: DataFrame, radius: float) -> DataFrame:
+        """Keep the clusters of core points; points that are not core at ``radius`` take theirs from their cores."""
+        grid = Grid(tuple(self.coords), float(radius))
+        merged = cut_lineage(merged)
+        is_core = F.col("core_dist") <= radius
+        core = merged.where(is_core).select("id", *self.coords, "core_dist", "cluster_id")
+        others = merged.where(~F.coalesce(is_core, F.lit(False)))
+        border = border_clusters(grid, others, core, cut_lineage(grid.cells(core, 0))).select("id", F.col("cluster_id").alias("own"))
+        assigned = others.join(border, "id", "left").withColumn("cluster_id", F.coalesce("own", F.lit(NOISE)).cast("bigint"))
+        return merged.where(is_core).unionByName(assigned.drop("own"))
+
     def _merged(self, radius: float) -> DataFrame:
         local = cut_lineage(self.local_labels(radius))
         core = local.where((F.col("core_dist") <= radius) & F.col("local_cluster").isNotNull())
@@ -236,8 +248,9 @@ def exact_ordering(
     """One ordering of all points: ``id``, coordinates, ``order_id``, ``reach_dist``, ``core_dist``, ``cluster_id``.
 
     Components of core points within ``eps`` do not influence each other, so each is ordered on its own and they
-    follow each other by their least core id, as one run over all points would have it. A border point goes to the
-    first component that reaches it. Components above ``max_component_points`` are ordered leaf by leaf and their
+    follow each other by their least core id, as one run over all points would have it. A border point is ordered
+    with the first component that reaches it; its ``cluster_id`` is that of the core point that reaches it at the least
+    (reach, id), as in ``density_labels``. Components above ``max_component_points`` are ordered leaf by leaf and their
     leaves follow each other.
     """
     coords = tuple(coords)
@@ -265,7 +278,11 @@ def exact_ordering(
     noise = placed.where("cluster_id is null").withColumns(
         {"order_id": F.lit(None).cast("bigint"), "reach_dist": F.lit(None).cast("double"), "cluster_id": F.lit(NOISE)}
     )
-    return spread_piles(shifted.select(*out).unionByName(noise.select(*out)), members)
+    placed = shifted.select(*out).unionByName(noise.select(*out))
+    nearest = border_clusters(grid, cores.where("core_dist is null"), clusters, cells)
+    placed = placed.join(nearest.select("id", F.col("cluster_id").alias("own")), "id", "left")
+    placed = placed.withColumn("cluster_id", F.coalesce("own", "cluster_id")).select(*out)
+    return spread_piles(placed, members)
 
 
 def _by_leaf(inside: DataFrame, eps: float, coords: tuple[str, ...], max_local_points: int) -> DataFrame:

@@ -230,7 +230,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # One leaf per physical partition, then aggregates without another shuffle.
     points = plane(spark, sf)
-    placed = build_kdtree(points, max_partitions=8).assign(points).repartition(8, "part_id")
+    placed = build_kdtree(points, max_partitions=8).assign(points).repartitionById(8, F.col("part_id").cast("int"))
     return placed.groupBy("part_id").agg(
         F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)]
     )
@@ -263,11 +263,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dens_order_core",
-    labels_sql(EPS) + "SELECT id, core_dist, cluster_id FROM labels WHERE is_core",
+    labels_sql(EPS) + "SELECT id, core_dist, cluster_id FROM labels",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     ordered = exact_ordering(plane(spark, sf), MIN_PTS, EPS)
-    return ordered.where("core_dist is not null").select("id", "core_dist", "cluster_id")
+    return ordered.select("id", "core_dist", "cluster_id")
 
 
 @query("dens_order_partitioned")
@@ -277,20 +277,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dens_labels_partitioned",
-    labels_sql(EPS) + "SELECT id, cluster_id FROM labels WHERE is_core",
+    labels_sql(EPS) + "SELECT id, is_core, cluster_id FROM labels",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     labels = partitioned_ordering(plane(spark, sf), MIN_PTS, EPS).labels()
-    return labels.where("is_core").select("id", "cluster_id")
+    return labels.select("id", "is_core", "cluster_id")
 
 
 @query(
     "dens_labels_partitioned_smaller",
-    labels_sql(SMALLER) + "SELECT id, cluster_id FROM labels WHERE is_core",
+    labels_sql(SMALLER) + "SELECT id, is_core, cluster_id FROM labels",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     labels = partitioned_ordering(plane(spark, sf), MIN_PTS, EPS).labels(SMALLER)
-    return labels.where("is_core").select("id", "cluster_id")
+    return labels.select("id", "is_core", "cluster_id")
 
 
 @query("dens_extract")

@@ -68,11 +68,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rel_filter_expr",
-    "SELECT p_partkey, p_name, p_retailprice * 2 AS double_price FROM part WHERE p_retailprice * 2 > 2000",
+    "SELECT p_partkey, p_name, p_retailprice * 2 AS double_price FROM part WHERE p_retailprice * 2 > 1900",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     doubled = F.col("p_retailprice") * 2
-    return table(spark, sf, "part").where(doubled > 2000).select("p_partkey", "p_name", doubled.alias("double_price"))
+    return table(spark, sf, "part").where(doubled > 1900).select("p_partkey", "p_name", doubled.alias("double_price"))
 
 
 @query(
@@ -641,7 +641,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # The counter rides along with the action that drains the rows; it is read once that action is done.
     observation = Observation("quantity")
-    watched = table(spark, sf, "lineitem").observe(
+    watched = table(spark, sf, "lineitem").select("l_quantity").observe(
         observation, F.count(F.lit(1)).alias("rows_seen"), F.sum("l_quantity").alias("quantity_seen")
     )
     watched.write.format("noop").mode("overwrite").save()
