@@ -349,7 +349,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
         "hits", lambda x: F.struct((F.col("first") + x["low"]).alias("low"), (F.col("first") + x["high"] + length).alias("high"))
     )
     by_doc = hits.select("d", "tag", runs.alias("runs")).groupBy("d", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return by_doc.select("d", "tag", F.array_sort(F.array_distinct("runs")).alias("spans"))
+    return by_doc.select("d", "tag", F.array_sort("runs").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, with_kept: bool = False) -> DataFrame:
