@@ -1,6 +1,7 @@
-"""Graph operators on the small social graph, and components on random graphs and hubs."""
+"""Graph operators on a small map of places and ways, and components on random graphs and hubs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,17 +11,20 @@ from sparkdense.graph.core import Graph, chains_with_label, directed_triangles,
 from sparkdense.graph.pagerank import pagerank
 from sparkdense.graph.paths import bfs_layers, list_rank, shortest_paths
 
-PEOPLE = [("a", "Alice", 34), ("b", "Bob", 36), ("c", "Charlie", 37), ("d", "David", 29), ("e", "Esther", 32),
-          ("f", "Fanny", 38), ("g", "Gabby", 60)]
-LINKS = [("a", "b", "friend"), ("b", "c", "follow"), ("c", "b", "follow"), ("f", "c", "follow"), ("e", "f", "follow"),
-         ("e", "d", "friend"), ("d", "a", "friend"), ("a", "e", "friend"), ("g", "e", "follow")]
+PLACES = [("mill", 12), ("ford", 3), ("quay", 1), ("loch", 25), ("glen", 40), ("moor", 55), ("isle", 7), ("crag", 90),
+          ("dune", 2)]
+WAYS = [("mill", "ford", "road"), ("ford", "mill", "road"), ("ford", "quay", "road"), ("quay", "mill", "ferry"), ("quay", "isle", "ferry"),
+        ("isle", "quay", "ferry"), ("isle", "loch", "ferry"), ("loch", "glen", "road"), ("glen", "moor", "road"), ("moor", "loch", "road"),
+        ("moor", "crag", "road"), ("mill", "glen", "road"), ("dune", "isle", "ferry")]
+PAIRS = {(a, b) for a, b, _ in WAYS}
+HEIGHT = dict(PLACES)
 
 
 @pytest.fixture(scope="module")
-def social(spark):
+def places(spark):
     return Graph(
-        spark.createDataFrame(PEOPLE, "id string, name string, age int"),
-        spark.createDataFrame(LINKS, "src string, dst string, relationship string"),
+        spark.createDataFrame(PLACES, "id string, height int"),
+        spark.createDataFrame(WAYS, "src string, dst string, kind string"),
     )
 
 
@@ -28,58 +32,87 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_degrees(social):
-    assert dict(rows(social.out_degrees())) == {"a": 2, "e": 2, "b": 1, "c": 1, "d": 1, "f": 1, "g": 1}
-    assert dict(rows(social.in_degrees())) == {"b": 2, "c": 2, "e": 2, "a": 1, "d": 1, "f": 1}
-    assert [r["id"] for r in social.zero_in_degree().collect()] == ["g"]
+def walks(steps):
+    found = [[w] for w in WAYS]
+    for _ in range(steps - 1):
+        found = [[*walk, w] for walk in found for w in WAYS if w[0] == walk[-1][1]]
+    return found
 
 
-def test_motifs(social):
-    mutual = [("a", None, "b"), ("b", None, "a")]
-    assert rows(motif(social, mutual, attributes=False)) == [("b", "c"), ("c", "b")]
-    older = motif(social, mutual).where("b.age > 36").select("a.id", F.col("b.id").alias("other"))
-    assert rows(older) == [("b", "c")]
-    pruned = motif(social, mutual, where={"b": "age > 36"}, attributes=False).select("a", "b")
-    assert rows(pruned) == [("b", "c")]
-    triangle = [("a", None, "b"), ("b", None, "c"), ("c", None, "a")]
-    expected = [("a", "e", "d"), ("d", "a", "e"), ("e", "d", "a")]
-    assert rows(motif(social, triangle, attributes=False).select("a", "b", "c")) == expected
-    assert rows(directed_triangles(social.edges)) == expected
-    assert motif(social, [("a", None, "b")], absent=[("b", "a")], attributes=False).count() == 7
-    with pytest.raises(ValueError):
-        motif(social, [], absent=[("a", "b")])
+def layers_from(start):
+    layers, edge = {start: 0}, {start}
+    while edge:
+        edge = {b for a, b in PAIRS if a in edge} - set(layers)
+        layers |= dict.fromkeys(edge, max(layers.values()) + 1)
+    return layers
 
 
-def test_chains(social):
-    chain = motif(social, [("a", "e1", "b"), ("b", "e2", "c"), ("c", "e3", "d")], attributes=False)
-    friends = sum(F.when(F.col(f"{e}.relationship") == "friend", 1).otherwise(0) for e in ("e1", "e2", "e3"))
-    found = chain.where((friends >= 2) & (F.col("a") != F.col("d"))).select("a", "b", "c", "d")
-    assert rows(found) == [("d", "a", "b", "c"), ("d", "a", "e", "f"), ("e", "d", "a", "b"), ("g", "e", "d", "a")]
-    counted = chains_with_label(social.edges, F.col("relationship") == "friend")
-    assert rows(counted) == [("d", 2), ("e", 1), ("g", 1)]
+def test_degrees(places):
+    assert dict(rows(places.out_degrees())) == Counter(a for a, _, _ in WAYS)
+    assert dict(rows(places.in_degrees())) == Counter(b for _, b, _ in WAYS)
+    assert [r["id"] for r in places.zero_in_degree().collect()] == ["dune"]
 
 
-def test_subgraphs(social):
-    assert rows(social.filtered("age > 30", "relationship = 'friend'").edges.select("src", "dst")) == [("a", "b"), ("a", "e")]
-    assert social.filtered("age > 30", "relationship = 'friend'", drop_dangling=False).edges.count() == 4
-    downwards = motif(social, [("a", "e", "b")]).where("e.relationship = 'follow' and a.age > b.age").select("e.*")
-    assert rows(downwards.select("src", "dst")) == [("c", "b"), ("f", "c"), ("g", "e")]
-    assert [r[0] for r in rows(social.incident_to(downwards).vertices.select("id"))] == ["b", "c", "e", "f", "g"]
-    assert social.triplets().count() == 9
+def test_motifs(places):
+    mutual = [("a", None, "b"), ("b", None, "a")]
+    both = sorted((a, b) for a, b in PAIRS if (b, a) in PAIRS)
+    assert len(both) == 4 and rows(motif(places, mutual, attributes=False)) == both
+    high = [(a, b) for a, b in both if HEIGHT[b] > 5]
+    found = motif(places, mutual).where("b.height > 5").select("a.id", F.col("b.id").alias("other"))
+    assert rows(found) == high
+    assert rows(motif(places, mutual, where={"b": "height > 5"}, attributes=False).select("a", "b")) == high
+    triangle = [("a", None, "b"), ("b", None, "c"), ("c", None, "a")]
+    expected = sorted((a, b, c) for a, b in PAIRS for x, c in PAIRS if x == b and (c, a) in PAIRS)
+    assert len(expected) == 6
+    assert rows(motif(places, triangle, attributes=False).select("a", "b", "c")) == expected
+    assert rows(directed_triangles(places.edges)) == expected
+    oneway = motif(places, [("a", None, "b")], absent=[("b", "a")], attributes=False)
+    assert rows(oneway.select("a", "b")) == sorted(PAIRS - set(both))
+    with pytest.raises(ValueError):
+        motif(places, [], absent=[("a", "b")])
 
 
-def test_paths(social):
-    layers = dict(rows(bfs_layers(social, "id = 'a'")))
-    assert layers == {"a": 0, "b": 1, "e": 1, "c": 2, "d": 2, "f": 2}
-    found = shortest_paths(social, "id = 'a'", "age > 36")
-    assert sorted("".join(r["path"]) for r in found.collect()) == ["abc", "aef"]
-    assert shortest_paths(social, "id = 'b'", "id = 'g'").count() == 0
-    assert shortest_paths(social, "id = 'a'", "id = 'd'", max_length=1).count() == 0
+def test_chains(places):
+    chain = motif(places, [("a", "e1", "b"), ("b", "e2", "c"), ("c", "e3", "d")], attributes=False)
+    ferries = sum(F.when(F.col(f"{e}.kind") == "ferry", 1).otherwise(0) for e in ("e1", "e2", "e3"))
+    found = chain.where((ferries >= 2) & (F.col("a") != F.col("d"))).select("a", "b", "c", "d")
+    expected = sorted(
+        (w[0][0], w[1][0], w[2][0], w[2][1]) for w in walks(3) if sum(k == "ferry" for *_, k in w) >= 2 and w[0][0] != w[2][1]
+    )
+    assert expected and rows(found) == expected
+    counted = chains_with_label(places.edges, F.col("kind") == "ferry")
+    assert dict(rows(counted)) == Counter(a for a, *_ in expected)
+
+
+def test_subgraphs(places):
+    kept = sorted((a, b) for a, b, k in WAYS if k == "road" and HEIGHT[a] > 10 and HEIGHT[b] > 10)
+    assert rows(places.filtered("height > 10", "kind = 'road'").edges.select("src", "dst")) == kept
+    dangling = places.filtered("height > 10", "kind = 'road'", drop_dangling=False).edges
+    assert dangling.count() == sum(k == "road" for *_, k in WAYS)
+    downwards = motif(places, [("a", "e", "b")]).where("e.kind = 'ferry' and a.height > b.height").select("e.*")
+    down = sorted((a, b) for a, b, k in WAYS if k == "ferry" and HEIGHT[a] > HEIGHT[b])
+    assert down and rows(downwards.select("src", "dst")) == down
+    assert [r[0] for r in rows(places.incident_to(downwards).vertices.select("id"))] == sorted({v for pair in down for v in pair})
+    assert places.triplets().count() == len(WAYS)
+
+
+def test_paths(places):
+    layers = layers_from("ford")
+    assert dict(rows(bfs_layers(places, "id = 'ford'"))) == layers and "dune" not in layers
+    targets = [v for v in HEIGHT if HEIGHT[v] > 20 and v in layers]
+    nearest = min(layers[v] for v in targets)
+    expected = sorted([w[0][0], *(b for _, b, _ in w)] for w in walks(nearest) if w[0][0] == "ford" and w[-1][1] in targets)
+    assert sorted(r["path"] for r in shortest_paths(places, "id = 'ford'", "height > 20").collect()) == expected
+    two = shortest_paths(places, "id = 'quay'", "id = 'glen'").count()
+    assert two == sum(w[0][0] == "quay" and w[-1][1] == "glen" for w in walks(layers_from("quay")["glen"]))
+    assert shortest_paths(places, "id = 'mill'", "id = 'dune'").count() == 0
+    assert shortest_paths(places, "id = 'mill'", "id = 'moor'", max_length=1).count() == 0
 
 
 def test_list_rank(spark):
-    links = spark.createDataFrame([(0, 5), (1, 0), (3, 4), (4, 6), (5, -1), (6, 1)], "src bigint, dst bigint")
-    assert dict(rows(list_rank(links))) == {5: 0, 0: 1, 1: 2, 6: 3, 4: 4, 3: 5}
+    order = [40, 7, 23, 91, 5, 66, 12]
+    links = spark.createDataFrame([*zip(order, order[1:]), (order[-1], -1)], "src bigint, dst bigint")
+    assert dict(rows(list_rank(links))) == {v: len(order) - 1 - i for i, v in enumerate(order)}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -103,26 +136,28 @@ def test_components(spark, seed):
 
 
 def test_label_merge(spark):
-    """Points with several (leaf, cluster) labels: labels that share a point become one cluster."""
-    labels = [(1, "00"), (1, "11"), (2, "11"), (2, "20"), (3, "31"), (4, "41"), (5, "41"), (5, "31"), (6, "50"), (6, "00")]
-    pairs = spark.createDataFrame(labels, "id int, label string")
-    home = pairs.groupBy("id").agg(F.min("label").alias("src"))
-    edges = pairs.join(home, "id").select("src", F.col("label").alias("dst"))
-    merged = dict(rows(connected_components(edges, pairs.select(F.col("label").alias("id")))))
-    assert {k for k, v in merged.items() if v == "00"} == {"00", "11", "20", "50"}
-    assert {k for k, v in merged.items() if v == "31"} == {"31", "41"}
+    """Points that several leaves have put into clusters of their own: clusters that share a point become one."""
+    chain = [(10 * leaf + i, leaf, 7) for leaf in range(4) for i in (0, 10)]  # each leaf shares a point with the next
+    apart = [(100, 0, 8), (101, 0, 8), (102, 2, 9), (101, 2, 9), (200, 3, 5)]
+    labels = spark.createDataFrame(chain + apart, "id int, leaf int, cluster int")
+    named = labels.select("id", F.struct("leaf", "cluster").alias("label"))
+    home = named.groupBy("id").agg(F.min("label").alias("src"))
+    edges = named.join(home, "id").select("src", F.col("label").alias("dst"))
+    merged = connected_components(edges, named.select(F.col("label").alias("id")))
+    found = {tuple(r["id"]): tuple(r["component"]) for r in merged.collect()}
+    assert found == {(0, 7): (0, 7), (1, 7): (0, 7), (2, 7): (0, 7), (3, 7): (0, 7), (0, 8): (0, 8), (2, 9): (0, 8), (3, 5): (3, 5)}
 
 
 def test_pagerank(spark):
-    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c")], "src string, dst string")
-    ranks = {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
-    out = {"a": ["b", "c"], "b": ["c"], "c": ["a"], "d": ["c"]}
+    links = {"n": ["o", "p", "q"], "o": ["p"], "p": ["n", "o"], "q": ["o"], "r": ["q", "n"]}
+    edges = spark.createDataFrame([(a, b) for a, targets in links.items() for b in targets], "src string, dst string")
+    ranks = dict.fromkeys(links, 1.0)
     for _ in range(10):
         sums: dict = {}
-        for page, links in out.items():
-            for target in links if page in ranks else ():
-                sums[target] = sums.get(target, 0.0) + ranks[page] / len(links)
+        for page, targets in links.items():
+            for target in targets if page in ranks else ():
+                sums[target] = sums.get(target, 0.0) + ranks[page] / len(targets)
         ranks = {page: 0.15 + 0.85 * s for page, s in sums.items()}
     assert dict(rows(pagerank(edges))) == pytest.approx(ranks)
     kept = dict(rows(pagerank(edges, keep_sources=True)))
-    assert kept["d"] == pytest.approx(0.15)
+    assert kept["r"] == pytest.approx(0.15)
