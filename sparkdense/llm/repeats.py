@@ -3,8 +3,8 @@
 Every string of ``length`` bytes is represented by the least (rightmost if tied) hash of its windows of ``window``
 bytes. Equal strings have equal representatives at equal offsets, so each start belongs to one group, named by that
 hash, and is compared inside its group only. Groups of a hash that occurs once fall out before any text is moved; equal
-contexts are one class and are counted, not compared. The distinct contexts of a group are sorted by a suffix array and
-equal neighbours found there. Groups of too many contexts are cut by offset into groups that share a longer core, and
+contexts are one class and are counted, not compared. Of the distinct contexts of a group, the parts that can hold an
+equal string are sorted by a suffix array and equal neighbours found there. Groups of too many contexts are cut by offset into groups that share a longer core, and
 at last into single strings, which are only counted.
 
 The suffix array is built by linear grouping: suffixes are grouped by first byte; groups are processed in descending
@@ -15,6 +15,7 @@ to a new group that stands for its longer Lyndon prefix. The final order follows
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from sparkdense.llm.common import append_columns, plain_text, stored
 
 LENGTH, WINDOW = 400, 128
 MAX_CLASSES = 64
+PART_WIDTH = 40
 WIDTHS = (24, 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -234,6 +236,44 @@ def _contexts(keyed: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, _CONTEXT)
 
 
+def _ranges(context: bytes, at: int, last: int, width: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number, first start, last start, core) of the ranges of at most ``width`` starts of a context, from 0 to ``last``.
+
+    Ranges are aligned by their distance from the anchor ``at``, as in every equal string. The core is what all strings
+    of a full range share: any one of these strings holds it.
+    """
+    start = 0
+    while start <= last:
+        block = (at - start) // width
+        high = at - block * width
+        end = min(last, high)
+        yield block, start, end, context[high : high - width + 1 + length]
+        start = end + 1
+
+
+def _parts(group: list[tuple[bytes, int, int, bytes]], length: int) -> list[tuple[bytes, int, int, bytes]]:
+    """(digest, first start, last start, bytes) of those ranges of a group's contexts whose core another context has.
+
+    Equal strings lie at equal distances from the anchor, so a string of any other range equals none of the group.
+    """
+    found = [
+        (n, start, end, (block, core))
+        for n, (_, last, at, context) in enumerate(group)
+        for block, start, end, core in _ranges(context, at, last, PART_WIDTH, length)
+    ]
+    number = Counter(core for *_, core in found)
+    out: list[list] = []
+    before = None
+    for n, start, end, core in found:
+        if number[core] > 1:
+            if before == (n, start):
+                out[-1][2] = end
+            else:
+                out.append([n, start, end])
+            before = (n, end + 1)
+    return [(group[n][0], start, end, group[n][3][start : end + length]) for n, start, end in out]
+
+
 def _narrower(classes: DataFrame, width: int, length: int) -> DataFrame:
     """The starts of classes in ranges of at most ``width``, keyed by the bytes that all strings of a range share."""
 
@@ -241,18 +281,10 @@ def _narrower(classes: DataFrame, width: int, length: int) -> DataFrame:
         out = _Emitter(_CLASS)
         for batch in batches:
             for owner, key, at, first, last, _, context, n in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                start = first
-                while start <= last:
-                    # ranges are aligned by their distance from the anchor, as in every equal string, and named by
-                    # the bytes that all strings of a full range share: any one of these strings holds them
-                    block = (at - start) // width
-                    high = at - block * width
-                    end = min(last, high)
-                    core = context[high - first : high - width + 1 - first + length]
+                for block, start, end, core in _ranges(context, at - first, last - first, width, length):
                     name = hashlib.blake2b(core, digest_size=8, key=block.to_bytes(8, "little", signed=True)).digest()
                     own = int.from_bytes(name, "little", signed=True) ^ key
-                    out.add((owner, own, at, start, end), context[start - first : end - first + length], (n,))
-                    start = end + 1
+                    out.add((owner, own, at, first + start, first + end), context[start : end + length], (n,))
                 if out.full():
                     yield out.batch()
         yield out.batch()
@@ -265,21 +297,19 @@ def _repeated_in_group(length: int):
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def solve(group: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, int, int]]:
-        text, owner = bytearray(), []
-        for n, (_, span, context) in enumerate(group):
-            owner += [n if i <= span else -1 for i in range(len(context))]
-            text += context
+    def solve(group: list[tuple[bytes, int, int, bytes]]) -> list[tuple[bytes, int, int]]:
+        text, owner, base = bytearray(), [], []
+        parts = _parts(group, length)
+        for n, (_, first, last, piece) in enumerate(parts):
+            base.append(len(text) - first)
+            owner += [n if i <= last - first else -1 for i in range(len(piece))]
+            text += piece
         text = bytes(text)
         at = [s for s in suffix_array(text) if owner[s] >= 0]
         hit = sorted({s for pair in zip(at, at[1:], strict=False) if text[pair[0] : pair[0] + length] == text[pair[1] : pair[1] + length] for s in pair})
-        base, begin = [], 0
-        for _, _, context in group:
-            base.append(begin)
-            begin += len(context)
         out: list[list] = []
         for s in hit:
-            digest, start = group[owner[s]][0], s - base[owner[s]]
+            digest, start = parts[owner[s]][0], s - base[owner[s]]
             if out and out[-1][0] == digest and out[-1][2] == start - 1:
                 out[-1][2] = start
             else:
@@ -295,12 +325,12 @@ def _repeated_in_group(length: int):
             return pa.RecordBatch.from_arrays(made, schema=arrow)
 
         for batch in batches:
-            for own, digest, span, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if own != key:
                     if group:
                         yield flush()
                     key, group = own, []
-                group.append((digest, span, context))
+                group.append(tuple(row))
         if group:
             yield flush()
 
@@ -321,15 +351,16 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     found = None
     for width in (*WIDTHS, None):
         classes = level.groupBy("key", "digest").agg(
-            F.sum("n").alias("n"), F.max("context").alias("context"), F.max(F.col("last") - F.col("first")).alias("span")
-        )
+            F.sum("n").alias("n"), F.max("context").alias("context"), F.max(F.col("last") - F.col("first")).alias("span"),
+            F.max(F.col("at") - F.col("first")).alias("at"),
+        )
         classes = stored(classes, "classes")
         groups = stored(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "groups")
         copies = classes.where("n > 1").select("digest", F.lit(0).cast("long").alias("low"), F.col("span").alias("high"))
         # once a context is a single string, different contexts of one hash are different strings
         small = groups.where(F.col("classes") <= (MAX_CLASSES if width else 0)).select("key")
         run, schema = _repeated_in_group(length)
-        members = classes.join(small, "key").select("key", "digest", "span", "context")
+        members = classes.join(small, "key").select("key", "digest", "span", "at", "context")
         tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         solved = members.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, schema)
         equal = stored(copies.unionByName(solved), "equal")
