@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkdense.functions.columns import words
 from sparkdense.operators.sequence import positions
+from sparkdense.session import cut_lineage
 
 # Keys that one sieve task covers; bounds every generated row group.
 SIEVE_BLOCK = 100_000
@@ -67,8 +68,12 @@ def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 
 def bag_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of ``left`` whose key does not occur in ``right``; duplicates on the left stay."""
-    return left.join(right.select(key).distinct(), key, "left_anti")
+    """Rows of ``left`` whose key does not occur in ``right``; duplicates on the left stay.
+
+    The distinct keys are checkpointed, so that both sides of the join are plain shuffles and the adaptive skew join
+    can split a hot key of ``left``.
+    """
+    return left.join(cut_lineage(right.select(key).distinct()), key, "left_anti")
 
 
 def composites(spark: SparkSession, end: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, Tokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +23,12 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The embeddings' leading coordinates as features; low label numbers against high ones."""
-    embeddings = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        (F.col("label") >= 5).cast("int").alias("label"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(3)],
+    """The embeddings as features, all coordinates; low label numbers against high ones."""
+    embeddings = table(spark, sf, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
+    features = array_to_vector(F.col("embedding").cast("array<double>"))
+    return embeddings.select(
+        F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("label"), features.alias("features")
     )
-    return VectorAssembler(inputCols=["v0", "v1", "v2"], outputCol="features").transform(embeddings)
 
 
 @query(

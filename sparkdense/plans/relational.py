@@ -583,31 +583,33 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return texts.select(F.explode(per_text).alias("ch")).distinct()
 
 
+AXES = [f"v{i}" for i in range(64)]  # the width of the embeddings
+
+
 @query(
     "agg_moments",
-    """SELECT count(*) AS n, round(avg(embedding[1]::DOUBLE), 9) AS mean_x, round(avg(embedding[2]::DOUBLE), 9) AS mean_y,
-              round(var_pop(embedding[1]::DOUBLE), 9) AS var_x, round(var_pop(embedding[2]::DOUBLE), 9) AS var_y
-       FROM embeddings""",
+    "SELECT count(*) AS n, "
+    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 9) AS mean_{c}, round(var_pop(embedding[{i + 1}]::DOUBLE), 9) AS var_{c}" for i, c in enumerate(AXES))
+    + " FROM embeddings",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    points = C.unpack(table(spark, sf, "embeddings"), "embedding", ("x", "y"))
+    points = C.unpack(table(spark, sf, "embeddings").select("embedding"), "embedding", AXES)
     return points.agg(
         F.count("*").alias("n"),
-        *[F.round(F.avg(c), 9).alias(f"mean_{c}") for c in "xy"],
-        *[F.round(F.var_pop(c), 9).alias(f"var_{c}") for c in "xy"],
+        *[F.round(F.avg(c), 9).alias(f"mean_{c}") for c in AXES],
+        *[F.round(F.var_pop(c), 9).alias(f"var_{c}") for c in AXES],
     )
 
 
 @query(
     "agg_bbox",
-    """SELECT min(embedding[1]::DOUBLE) AS lower_x, min(embedding[2]::DOUBLE) AS lower_y,
-              max(embedding[1]::DOUBLE) AS upper_x, max(embedding[2]::DOUBLE) AS upper_y FROM embeddings""",
+    "SELECT "
+    + ", ".join(f"min(embedding[{i + 1}]::DOUBLE) AS lower_{c}, max(embedding[{i + 1}]::DOUBLE) AS upper_{c}" for i, c in enumerate(AXES))
+    + " FROM embeddings",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    points = C.unpack(table(spark, sf, "embeddings"), "embedding", ("x", "y"))
-    return points.agg(
-        *[F.min(c).alias(f"lower_{c}") for c in "xy"], *[F.max(c).alias(f"upper_{c}") for c in "xy"]
-    )
+    points = C.unpack(table(spark, sf, "embeddings").select("embedding"), "embedding", AXES)
+    return points.agg(*[f(c).alias(f"{name}_{c}") for c in AXES for f, name in ((F.min, "lower"), (F.max, "upper"))])
 
 
 @query(
