@@ -120,7 +120,9 @@ def directed_triangles(edges: DataFrame) -> DataFrame:
         .groupBy("p", "q")
         .agg(F.max("forward").alias("pq"), F.max(~F.col("forward")).alias("qp"))
     )
+    pairs = cut_lineage(pairs)  # read twice; with the degrees cut, too, the skew join can split a hub's pairs
     degrees = pairs.select(F.explode(F.array("p", "q")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    degrees = cut_lineage(degrees)
     ranked = pairs.join(degrees.select(F.col("id").alias("p"), F.col("degree").alias("dp")), "p").join(
         degrees.select(F.col("id").alias("q"), F.col("degree").alias("dq")), "q"
     )
@@ -163,18 +165,20 @@ def chains_with_label(edges: DataFrame, is_match: Column) -> DataFrame:
 
     Counts are carried backwards along the chain, one aggregate per step, instead of listing the chains; the
     chains that return to their start are labelled triangles, which are counted and taken off. Self-loops are
-    left out: with them a chain could return in other ways.
+    left out: with them a chain could return in other ways. Links and the counts that are carried back are
+    checkpointed, so the edges are read once and the skew join can split the links of a hub.
     """
-    edges = edges.where("src <> dst")
-    links = edges.groupBy("src", "dst").agg(
+    links = edges.where("src <> dst").groupBy("src", "dst").agg(
         F.count_if(is_match).alias("hit"), F.count_if(~is_match).alias("miss")
     )
-    last = links.groupBy("src").agg(F.sum("hit").alias("h1"), F.sum("miss").alias("m1"))
+    links = cut_lineage(links)
+    last = cut_lineage(links.groupBy("src").agg(F.sum("hit").alias("h1"), F.sum("miss").alias("m1")))
     onto_last = links.join(last.withColumnRenamed("src", "dst"), "dst")
     last_two = onto_last.groupBy("src").agg(
         F.sum(F.col("hit") * F.col("h1")).alias("two"),
         F.sum(F.col("hit") * F.col("m1") + F.col("miss") * F.col("h1")).alias("one"),
     )
+    last_two = cut_lineage(last_two)
     onto_two = links.join(last_two.withColumnRenamed("src", "dst"), "dst")
     total = onto_two.groupBy(F.col("src").alias("a")).agg(
         F.sum(F.col("hit") * (F.col("one") + F.col("two")) + F.col("miss") * F.col("two")).alias("n")
@@ -185,7 +189,7 @@ def chains_with_label(edges: DataFrame, is_match: Column) -> DataFrame:
             F.col("src").alias(x), F.col("dst").alias(y), F.col("hit").alias(f"h{i}"), F.col("miss").alias(f"m{i}")
         )
 
-    returning = directed_triangles(edges)
+    returning = directed_triangles(links)
     for i, (x, y) in enumerate((("a", "b"), ("b", "c"), ("c", "a")), start=1):
         returning = returning.join(named(x, y, i), [x, y])
     matches = F.expr("h1 * h2 * h3 + h1 * h2 * m3 + h1 * m2 * h3 + m1 * h2 * h3")

@@ -16,19 +16,18 @@ def pagerank(edges: DataFrame, rounds: int = 10, keep_sources: bool = False) ->
     Ranks start at 1.0 for every page with an outgoing link; repeated links count repeatedly. A page without an
     incoming link drops out after the first round, unless ``keep_sources`` gives it the floor of 0.15.
     """
-    links = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    degrees = links.groupBy("src").agg(F.sum("k").alias("out_degree"))
+    links = cut_lineage(edges.groupBy("src", "dst").agg(F.count("*").alias("k")))
+    degrees = cut_lineage(links.groupBy("src").agg(F.sum("k").alias("out_degree")))
     shares = cut_lineage(
         links.join(degrees, "src").select("src", "dst", (F.col("k") / F.col("out_degree")).alias("share"))
     )
-    ranks = shares.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))
-    pages = shares.select(F.explode(F.array("src", "dst")).alias("id")).distinct() if keep_sources else None
-    for i in range(rounds):
+    ranks = degrees.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    pages = cut_lineage(shares.select(F.explode(F.array("src", "dst")).alias("id")).distinct()) if keep_sources else None
+    for _ in range(rounds):
         given = shares.join(ranks.withColumnRenamed("id", "src"), "src")
         sums = given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
         if pages is not None:
             sums = pages.join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s"))
-        ranks = sums.select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.col("s")).alias("rank"))
-        if (i + 1) % 5 == 0:
-            ranks = cut_lineage(ranks)
+        # one row per page, cut so that both sides of the next join are plain shuffles and a hub's links can be split
+        ranks = cut_lineage(sums.select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.col("s")).alias("rank")))
     return ranks

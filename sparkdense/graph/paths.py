@@ -16,14 +16,18 @@ MAX_DOUBLINGS = 62
 
 def bfs_layers(graph: Graph, start: str | Column, max_layers: int | None = None) -> DataFrame:
     """(id, layer) of every vertex that the start vertices reach; the start is layer 0."""
-    return _union(_layers(graph, start, max_layers=max_layers))
+    return _union(_layers(graph, _links(graph), start, max_layers=max_layers))
+
+
+def _links(graph: Graph) -> DataFrame:
+    """One edge per ordered pair, checkpointed because every layer reads it."""
+    return cut_lineage(graph.edges.select("src", "dst").distinct())
 
 
 def _layers(
-    graph: Graph, start: str | Column, stop: str | Column | None = None, max_layers: int | None = None
+    graph: Graph, links: DataFrame, start: str | Column, stop: str | Column | None = None, max_layers: int | None = None
 ) -> list[DataFrame]:
     """One checkpointed table per layer; ends at an empty layer, or at the first one with a ``stop`` vertex."""
-    links = graph.edges.select("src", "dst").distinct()
     layers = [cut_lineage(graph.vertices.where(start).select("id", F.lit(0).alias("layer")))]
     targets = graph.vertices.where(stop).select("id") if stop is not None else None
     while True:
@@ -50,9 +54,9 @@ def shortest_paths(graph: Graph, start: str | Column, target: str | Column, max_
     Layers are found first, then followed back from the targets that were hit, so paths are only listed over
     edges that lie on some shortest path. Empty when no target lies within ``max_length`` edges.
     """
-    layers = _layers(graph, start, target, max_length)
+    links = _links(graph)
+    layers = _layers(graph, links, start, target, max_length)
     hits = layers[-1].join(graph.vertices.where(target).select("id"), "id", "left_semi").select("id")
-    links = graph.edges.select("src", "dst").distinct()
     steps: list[DataFrame] = []
     needed = cut_lineage(hits)
     for layer in reversed(layers[:-1]):

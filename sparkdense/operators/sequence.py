@@ -108,7 +108,7 @@ def kth_smallest(df: DataFrame, value: str, k: int, select_rows: int = SELECT_RO
     """
     if k < 0:
         raise ValueError("k counts from 0")
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")))
     slice_, below = counted, 0
     distinct, rows = counted.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
     if k >= rows:
@@ -117,8 +117,9 @@ def kth_smallest(df: DataFrame, value: str, k: int, select_rows: int = SELECT_RO
         low, high = slice_.agg(F.min(value), F.max(value)).first()
         cuts = sorted(set(slice_.approxQuantile(value, [i / 16 for i in range(1, 16)], 0.01)))
         cuts = [c for c in cuts if low < c <= high]
-        if not cuts:
-            break
+        if not cuts:  # doubles cannot tell these values apart; some of the values themselves can
+            drawn = slice_.where(F.col(value) > low).orderBy(F.xxhash64(value), value).limit(15)
+            cuts = sorted(row[0] for row in drawn.select(value).collect())
         edges = slice_.agg(
             *[F.coalesce(F.sum(F.when(F.col(value) < c, F.col("_n"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(cuts)]
         ).first()
@@ -130,7 +131,7 @@ def kth_smallest(df: DataFrame, value: str, k: int, select_rows: int = SELECT_RO
             slice_ = slice_.where(F.col(value) < cuts[upper])
         below += edges[lower] if lower is not None else 0
         distinct = slice_.count()
-    # The slice holds at most select_rows counted values (or values that doubles cannot tell apart).
+    # The slice holds at most select_rows counted values.
     upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranked = slice_.withColumn("_upto", upto + F.lit(below))
     return ranked.where(F.col("_upto") > k).agg(F.min(value).alias("value"))

@@ -9,9 +9,13 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows up to which a metadata table (boxes, labels, centres, offsets) is broadcast.
 BROADCAST_ROWS = 200_000
+# Bytes that its columns without a fixed width may hold together.
+BROADCAST_BYTES = 32 << 20
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def local_session(cores: str | int = "*", app: str = "sparkdense", **conf: str) -> SparkSession:
@@ -61,13 +65,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows; else leave the join to shuffle.
 
-    Counting stops at ``max_rows + 1``, so pass tables that are cheap to read (checkpointed or aggregated).
+    Columns without a fixed width (strings, arrays, structs) are measured, too, and may hold ``max_bytes``. Counting stops at ``max_rows + 1``, so pass tables that are cheap to read (checkpointed or aggregated).
     """
-    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    loose = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, _FIXED_WIDTH)]
+    size = F.octet_length(F.to_json(F.struct(*loose))) if loose else F.lit(0)
+    first = df.select(size.alias("size")).limit(max_rows + 1)
+    rows, held = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
 def metadata_table(spark: SparkSession, columns: dict[str, list], types: dict[str, str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Physical plans: what must and must not be in them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkdense.density.grid import Grid, first_cell_pairs, near_points
+from sparkdense.graph import core, pagerank
 from sparkdense.graph.core import Graph, motif
 from sparkdense.operators.relational import smallest_per_key
 from sparkdense.operators.sequence import prefix_sum
@@ -61,3 +63,42 @@ def test_motif_filter_prunes_edges_first(spark, sf_dir):
     edges = spark.range(500).select((F.col("id") % 100).alias("src"), (F.col("id") % 97).alias("dst"))
     text = plan(motif(Graph(vertices, edges), [("a", None, "b"), ("b", None, "a")], where={"b": "age > 36"}, attributes=False))
     assert "CartesianProduct" not in text and text.count("LeftSemi") >= 1
+
+
+TINY_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.mark.parametrize(
+    "module, run, splits",
+    [
+        (pagerank, lambda edges: pagerank.pagerank(edges, rounds=2), 3),  # shares, then each round
+        (core, core.directed_triangles, 1),
+        (core, lambda edges: core.chains_with_label(edges, F.col("src") % 2 == 0), 2),
+    ],
+)
+def test_a_hub_is_split_over_tasks(spark, monkeypatch, module, run, splits):
+    away = spark.range(1, 8001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    back = away.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    others = spark.range(1, 4000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    seen, cut = [], module.cut_lineage
+
+    def watched(df):
+        seen.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut_lineage", watched)
+    for key, value in TINY_SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        run(away.unionByName(back).unionByName(others)).count()
+        assert sum("skew=true" in plan(df) for df in seen) >= splits
+    finally:
+        for key in TINY_SKEW:
+            spark.conf.unset(key)
