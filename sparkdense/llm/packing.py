@@ -2,7 +2,8 @@
 
 Every task keeps a fixed number of open bins. A bitset says at which amounts of free space there are open bins, so the
 best fit of a piece is the lowest set bit at or above its length. If none fits and all bins are open, the fullest one
-is closed and a new one opened.
+is closed and a new one opened. Pieces arrive in random groups of twice as many as there are open bins, the longest of a
+group first: short pieces then fill what the long ones left, and every group meets bins of all kinds.
 """
 
 from __future__ import annotations
@@ -130,10 +131,12 @@ def best_fit(
             made = [pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())]
             yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
 
-    n = tasks_for(items.count(), per_task)
+    rows = items.count()
+    n = tasks_for(rows, per_task)
     # dealt by content, so that a task that runs again gets the same pieces in the same order
     keys = [c for c in ("doc_id", "piece") if c in items.columns] or items.columns
-    dealt = items.repartition(n, *keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
+    group = F.pmod(F.xxhash64(*keys), F.lit(tasks_for(rows, n * 2 * open_bins)))
+    dealt = items.repartition(n, *keys).sortWithinPartitions(group, F.desc("length"), *keys)
     return dealt.mapInArrow(run, schema)
 
 

@@ -140,6 +140,16 @@ def test_open_bins(sizes, limit):
             opened.remove(number)
 
 
+def test_packing_leaves_little_free(spark):
+    random.seed(8)
+    lengths = [int(2048 * random.random() ** 3) + 1 for _ in range(6000)] + [2048] * 50
+    items = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    rows = packing.best_fit(items, open_bins=256).collect()
+    full = sum(lengths) / 2048
+    assert len(rows) == len(lengths)
+    assert full <= len({r["sequence_id"] for r in rows}) <= 1.005 * full + 1
+
+
 def _links(texts, words, percent):
     sets = {}
     for i, t in texts:
