@@ -249,6 +249,36 @@ def _training(rng):
     return rows
 
 
+def test_disguised_personal_data_is_learned(spark):
+    rng = random.Random(3)
+    words = "the list of all that was sent on time by them".split()
+    kinds = [
+        ("email", lambda n: f"ann{n} [at] host{n % 7} [dot] com"), ("email", lambda n: f"bob{n}(at)site.org"),
+        ("ip", lambda n: f"10[.]{n % 200}[.]3[.]4"), ("phone", lambda n: f"0049/30/{1234567 + n}"),
+        ("card", lambda n: "4111/1111/1111/1111"), (None, lambda n: f"300[.]{n % 200}[.]3[.]4"), (None, lambda n: "4111/1111/1111/1112"),
+    ]
+    texts, planted = [], {}
+    for i in range(700):
+        kind, make = kinds[i % 7]
+        value, before = make(i), " ".join(rng.choices(words, k=6)) + " "
+        texts.append((i, f"{before}{value} {' '.join(rng.choices(words, k=6))}"))
+        planted[i] = f"{kind}:{len(before)}:{len(before) + len(value)}" if kind else ""
+    # a plain span for every disguised one, then almost none
+    for plain in (700, 3):
+        own = [(1000 + i, f"mail x{i}@y{i}.com or {i % 250}.1.2.3 now") for i in range(plain)]
+        docs = spark.createDataFrame(texts + own, "doc_id long, text string")
+        found = {r["doc_id"]: r["spans"] for r in pii.detect(docs, pii.learn(docs)).where("doc_id < 1000").collect()}
+        assert found == planted
+
+
+def test_few_disguised_spans_are_found(spark):
+    rows = [(i, f"row {i} of {i * 37 % 911} items, made {i % 28 + 1}.{i % 12 + 1}.2020 at 10:{i % 50 + 10}") for i in range(400)]
+    rows += [(900, "please write to ann [at] host [dot] com today"), (901, "call 0049-30-1234567 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(docs, pii.learn(docs)).where("spans != ''").collect()}
+    assert found == {900: "email:16:39", 901: "phone:5:20"}
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
