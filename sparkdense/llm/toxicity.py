@@ -2,7 +2,8 @@
 
 A character trigram model is counted over all documents. Tokens that may be disguised (figures and signs among
 letters, separators between letters, letters spaced out or repeated) become a lattice of what each character may stand
-for, and Viterbi decoding under the character model restores the likeliest word. Restored words are scored by weights
+for, and Viterbi decoding under the character model restores the likeliest word. Separators of spaced-out letters either
+vanish or end a word, so that decoding also cuts a spaced-out text into its words. Tokens of any length are decoded. Restored words are scored by weights
 of words and word beginnings, learned from labelled documents.
 """
 
@@ -12,6 +13,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,14 @@ LEET = {
 }
 _DISGUISED = re.compile(r"[a-zà-ÿ][0-9@$!|+(€£¡*._\-]+[a-zà-ÿ]|^[0-9@$!|(€£¡]+[a-zà-ÿ]|([a-zà-ÿ])\1\1", re.I)
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_]){2,}(?![^\W_])")
-_EDGE = re.compile(r"^[^\w@$!|(€£¡]+|[^\w@$€£]+$")
+_SPACED_LETTER = re.compile(r"([^\W_])([ ._*-]*)")
+_LEADING, _TRAILING = re.compile(r"[^\w@$!|(€£¡]+"), re.compile(r"[^\w@$€£]+")
 _WORDS = re.compile(r"\S+")
 
 SUBSTITUTION, DROP, COLLAPSE = -1.0, -0.5, -0.2
+WIDE_GAP_VANISHES = -2.0
+COMMIT_STEPS = 256
+CACHED_CHARS = 64
 LABELLED_DOCUMENTS = 12_000
 PREFIXES = (4, 5, 6)
 LEAST_DOCUMENTS = 4
@@ -111,39 +118,77 @@ def _readings(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The likeliest word behind a token in lower case: Viterbi over the lattice, with the last two letters as state."""
+def _spaced_readings(run: str) -> list[list[tuple[str, float]]]:
+    """The lattice of spaced-out letters: each separator vanishes or ends a word; a letter three times may be repeated."""
+    out, letters, i = [], _SPACED_LETTER.findall(run), 0
+    while i < len(letters):
+        j = i
+        while j < len(letters) and letters[j][0] == letters[i][0]:
+            j += 1
+        together = j - i if j - i >= 3 else 1
+        for k in range(i, j, together):
+            out += _readings(letters[k][0] * together)
+            gap = letters[k + together - 1][1]
+            out.append([("", WIDE_GAP_VANISHES if len(gap) > 1 else 0.0), (" ", 0.0)])
+        i = j
+    return out[:-1]
+
+
+def decode(token: str, logp: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest word behind a token in lower case: Viterbi over the lattice, with the last two letters as state.
+
+    With ``spaced``, the words behind a run of spaced-out letters, with a space between two. What all states agree on
+    is put aside every COMMIT_STEPS steps, so work and memory grow with the length only.
+    """
     start = (END, END)
-    beam = {start: (0.0, "")}
-    for options in _readings(token):
+    beam, done = {start: (0.0, "")}, []
+    for step, options in enumerate(_spaced_readings(token) if spaced else _readings(token), 1):
         following: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in beam.items():
             for letters, cost in options:
                 x, y, total = a, b, score + cost
                 for c in letters:
-                    z = int(_SYMBOL[ord(c)]) or OTHER
+                    z = END if c == " " else int(_SYMBOL[ord(c)]) or OTHER
                     total += float(logp[x, y, z])
                     x, y = y, z
                 if (x, y) not in following or following[x, y][0] < total:
                     following[x, y] = (total, word + letters)
         beam = following
-    return max(((s + float(logp[a, b, END]), w) for (a, b), (s, w) in beam.items()), key=lambda v: v[0])[1]
+        if step % COMMIT_STEPS == 0:
+            same = len(commonprefix([w for _, w in beam.values()]))
+            done.append(next(iter(beam.values()))[1][:same])
+            beam = {k: (s, w[same:]) for k, (s, w) in beam.items()}
+    best = max(((s + float(logp[a, b, END]), w) for (a, b), (s, w) in beam.items()), key=lambda v: v[0])[1]
+    return "".join([*done, best])
+
+
+def _trimmed(token: str) -> str:
+    lead = _LEADING.match(token)
+    word = token[lead.end() :] if lead else token
+    tail = _TRAILING.match(word[::-1])
+    return word[: len(word) - tail.end()] if tail else word
 
 
 class Restorer(dict):
-    """Token in lower case -> restored word. Ordinary tokens only lose the signs at their ends; forgets all when full."""
+    """Token in lower case -> restored word, or words behind spaced-out letters, with a space between two.
+
+    Ordinary tokens only lose the signs at their ends; forgets all when full.
+    """
 
     def __init__(self, logp: np.ndarray):
         super().__init__()
         self.logp = logp
 
     def __missing__(self, token: str) -> str:
-        word = _EDGE.sub("", token)
-        if len(word) <= 64 and _DISGUISED.search(word):
+        word = _trimmed(token)
+        if _SPACED.fullmatch(token):
+            letters = "".join(c for c in token if c.isalnum())
+            word = letters if letters.isdigit() else decode(token, self.logp, spaced=True)
+        elif _DISGUISED.search(word):
             word = decode(word, self.logp)
         else:
             word = word.strip("!@$|(€£¡")
-        if len(token) <= 64:
+        if len(token) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[token] = word
@@ -151,14 +196,11 @@ class Restorer(dict):
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct tokens in lower case; letters that are spaced out also form one token."""
+    """Distinct tokens in lower case; a run of letters that are spaced out is one more token, as it stands."""
     lower = text.lower()
     found = set(lower.split())
     if _SPACED_GATE.search(lower):
-        for match in _SPACED.finditer(lower):
-            letters = re.sub(r"[ ._*-]", "", match.group())
-            if len(letters) <= 32:
-                found.add(letters)
+        found.update(match.group() for match in _SPACED.finditer(lower))
     return found
 
 
@@ -167,10 +209,14 @@ _SPACED_GATE = re.compile(r"(?<!\S)[^\W_][ ._*-]{1,2}[^\W_][ ._*-]{1,2}[^\W_]")
 
 def restored(text: str, restorer: Restorer) -> str:
     """The whole text with every token restored, for reading."""
-    joined = _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group()), text.lower())
+    joined = _SPACED.sub(lambda m: restorer[m.group()], text.lower())
     return _WORDS.sub(lambda m: restorer[m.group()] or m.group(), joined)
 
 
+def restored_words(text: str, restorer: Restorer) -> set[str]:
+    return {word for token in tokens(text) for word in restorer[token].split()}
+
+
 def terms(words: set[str]) -> set[str]:
     """Words and word beginnings (ending in *)."""
     out = set()
@@ -192,26 +238,33 @@ class ToxicityModel:
         own = _WordWeights(restorer, weights)
 
         def score(text: str) -> float:
-            found = sorted(filter(None, map(own.__getitem__, tokens(text))), reverse=True)
-            x = base + (first * found[0] + rest * sum(found[1:3]) if found else 0.0)
+            found = own.highest(text)
+            x = base + (first * found[0] + rest * sum(found[1:]) if found else 0.0)
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
         return score
 
 
 class _WordWeights(dict):
+    """Token in lower case -> weights of the words behind it, without zeros."""
+
     def __init__(self, restorer: Restorer, weights: dict[str, float]):
         super().__init__()
         self.restorer, self.weights = restorer, weights
 
-    def __missing__(self, token: str) -> float:
-        word = self.restorer[token]
-        weight = max((self.weights.get(t, 0.0) for t in terms({word})), default=0.0)
-        if len(token) <= 64:
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        words = sorted(set(self.restorer[token].split()))
+        best = (max((self.weights.get(t, 0.0) for t in terms({word})), default=0.0) for word in words)
+        weights = tuple(filter(None, best))
+        if len(token) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
-            self[token] = weight
-        return weight
+            self[token] = weights
+        return weights
+
+    def highest(self, text: str) -> list[float]:
+        """The three highest weights of a text's words, highest first."""
+        return sorted(chain.from_iterable(map(self.__getitem__, tokens(text))), reverse=True)[:3]
 
 
 def learn(docs: DataFrame, labelled: DataFrame, labelled_documents: int = LABELLED_DOCUMENTS) -> ToxicityModel:
@@ -269,7 +322,7 @@ def _term_counts(sample: DataFrame, logp: np.ndarray):
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update(terms({restorer[t] for t in tokens(text)}))
+                counts[toxic].update(terms(restored_words(text, restorer)))
                 if len(counts[0]) + len(counts[1]) > 500_000:
                     yield flush()
         yield flush()
@@ -287,7 +340,7 @@ def _curve(sample: DataFrame, logp: np.ndarray, weights: dict[str, float]) -> tu
         own = _WordWeights(Restorer(logp), weights)
 
         def work(texts):
-            best = [sorted(filter(None, map(own.__getitem__, tokens(t))), reverse=True)[:3] for t in texts]
+            best = [own.highest(t) for t in texts]
             return [[b[0] if b else 0.0 for b in best], [float(sum(b[1:])) for b in best]]
 
         return work

@@ -308,6 +308,35 @@ def test_restored_text(letters_model):
     assert toxicity.Restorer(letters_model)["well"] == "well"
 
 
+@pytest.fixture(scope="module")
+def sentence_model():
+    """The character model of running text, so that it knows how words follow each other."""
+    text = "you are such a stupid man and all of the men are as well as you. what a fool you are. the idiot is here. " * 30
+    ids = [0, 0, *[int(toxicity._SYMBOL[ord(c)]) for c in text], 0]
+    counts = np.zeros((toxicity.SYMBOLS,) * 3)
+    for a, b, c in zip(ids, ids[1:], ids[2:], strict=False):
+        counts[a, b, c] += 1
+    return toxicity.log_probabilities(counts)
+
+
+def test_spaced_text_is_cut_into_words(sentence_model):
+    restorer = toxicity.Restorer(sentence_model)
+    assert toxicity.restored("such a s t u p i d man", restorer) == "such a stupid man"
+    assert toxicity.restored("y o u i d i o t", restorer) == "you idiot"
+    sentence = "you are such a stupid man and all of the men are as well as you"
+    assert restorer[" ".join(sentence.replace(" ", ""))] == sentence
+    assert restorer[" ".join(sentence.replace(" ", "") * 40)].split() == sentence.split() * 40
+    assert restorer["s t u u u u p 1 d"] == "stupid"
+
+
+def test_long_tokens_are_decoded(sentence_model):
+    restorer = toxicity.Restorer(sentence_model)
+    assert restorer["st" + "u" * 5_000 + "p1d"] == "stupid" == restorer["s" + "." * 200_000 + "tup1d"]
+    score = toxicity.ToxicityModel(sentence_model, {"stupid": 5.0}, (-4.0, 2.0, 0.0)).scorer()
+    plain = "you are such a stupid man and all of the men are as well as you"
+    assert score(plain) == score(" ".join(plain.replace(" ", ""))) == score("you stu" + "u" * 90 + "pid man") > 0.9 > score("you are")
+
+
 def test_toxicity_on_held_out_documents(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     found = queries.op4_noisy_channel(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
