@@ -24,12 +24,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal without white space, the longest stays, then the one with the least id."""
+    """Of documents that are equal without white space, the longest stays, then the one with the least id.
+
+    Of rows that agree in this, too, such as wholly repeated ones, only the one with the least text stays.
+    """
     stays = exact_dedup.exact_groups(docs).where("kept").select("doc_id", "text_sha256", "n_chars_raw").distinct()
     sha = F.sha2(exact_dedup.normalised().cast("binary"), 256)
     keyed = docs.withColumn("own_sha", sha).withColumn("own_raw", F.length(F.coalesce("text", F.lit(""))).cast("long"))
     same = keyed["doc_id"].eqNullSafe(stays["doc_id"]) & (F.col("own_sha") == F.col("text_sha256"))
-    return keyed.join(stays, same & (F.col("own_raw") == F.col("n_chars_raw")), "left_semi").select(*docs.columns)
+    kept = keyed.join(stays, same & (F.col("own_raw") == F.col("n_chars_raw")), "left_semi")
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    return kept.groupBy("doc_id", "own_sha").agg(F.min(row).alias("own_row")).select(*[F.col("own_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

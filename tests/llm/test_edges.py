@@ -132,3 +132,12 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == spark.read.parquet(f"{tmp_path}/documents.parquet").columns
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {1, 6, None} | {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "a  bc"), (2, "abc"), (3, "own"), (None, "x y"), (None, "x y"), (4, "z"), (4, "other"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    assert found == sorted([(1, "a  bc", "s"), (3, "own", "s"), (None, "x y", "s"), (4, "z", "s"), (4, "other", "s"), (5, None, "s")], key=str)
