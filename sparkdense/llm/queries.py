@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdense.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, merkle, minhash, packing, pii, repeats, toxicity
+from sparkdense.llm import (
+    alignment,
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    html_text,
+    language_id,
+    merkle,
+    minhash,
+    packing,
+    pii,
+    repeats,
+    secrets,
+    toxicity,
+)
 from sparkdense.llm.common import crc32_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +95,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(docs, even, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_statistics(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 SQL_OP10 = r"""
 WITH normal AS (
     SELECT doc_id, length(coalesce(text, '')) AS n_raw,
@@ -173,6 +196,8 @@ QUERIES: dict[str, Query] = {
     "op9_metric_join": op9_metric_join,
     "op10_block_naming": op10_block_naming,
     "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
+    "op13_secrets": op13_secrets,
 }
 ORACLES: dict[str, str] = {"op10_block_naming": SQL_OP10, "op11_merkle": SQL_OP11}
 
