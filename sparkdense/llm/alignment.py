@@ -10,6 +10,7 @@ block gets the counts of its own pairs back.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkdense.llm.bpe import ByteBpe
+from sparkdense.llm.bpe import PATTERN, load_ranks
 from sparkdense.llm.common import append_columns, spread, stored
 from sparkdense.session import broadcast_if_small
 
@@ -29,6 +30,12 @@ BLOCK_BYTES = 4 << 20
 SPACE_MARK = "\u2581"
 
 
+# A stretch starts at a space behind a character that is no white space, or at the space before the text.
+_STRETCH = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+CACHED_STRETCHES = 300_000
+CACHED_CHARS = 48
+
+
 class Pieces:
     """A sentencepiece vocabulary: ids of a text and the bytes that each id stands for."""
 
@@ -37,39 +44,97 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of = []
+        self.apart = True
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             is_byte = self.model.is_byte(i)
             self.bytes_of.append(bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(SPACE_MARK, " ").encode())
+            self.apart &= SPACE_MARK not in piece.lstrip(SPACE_MARK)
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of ``text``, before which the model puts a space; None where they do not spell space and text."""
+        ids = self.model.encode(text)
+        spelled = b"".join(map(self.bytes_of.__getitem__, ids))
+        return np.array(ids, dtype=np.int64) if spelled == (" " + text).encode() else None
 
 
 class Aligner:
-    """Both vocabularies; ``align`` gives the token ids, the cuts and the links of one text."""
+    """Both vocabularies. ``encode``, ``cuts``, ``links`` and ``spelled`` are the steps for one text.
+
+    ``summary`` takes them for the stretches of a text that are new to it. No pre-token of A crosses the start of a
+    stretch, and no merge of B does, as no piece holds a space behind another character: both encodings end a token there,
+    and the groups of a text are those of its stretches one after the other.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteBpe(path_a), Pieces(path_b)
-        self.size_b = len(self.b.bytes_of)
-        self.lengths_a = np.array([len(t) for t in self.a.bytes_of], dtype=np.int64)
+        import tiktoken
+
+        ranks = load_ranks(path_a)
+        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = Pieces(path_b)
+        self.size_a, self.size_b = max(ranks.values(), default=-1) + 1, len(self.b.bytes_of)
+        self.lengths_a = np.zeros(self.size_a, dtype=np.int64)
+        self.lengths_a[list(ranks.values())] = [len(t) for t in ranks]
         self.lengths_b = np.array([len(t) for t in self.b.bytes_of], dtype=np.int64)
-        self.names_a = [str(i) for i in range(len(self.a.bytes_of))]
-        self.names_b = [str(i) for i in range(self.size_b)]
+        # ids as text with the sign that follows them: inside a group, at the end of its first or second half
+        signs = (self.size_a, ","), (self.size_a, "|"), (self.size_b, ","), (self.size_b, ";")
+        names = [f"{i}{sign}" for size, sign in signs for i in range(size)]
+        self.names = np.array(names, dtype=object)
+        self.known: dict[str, tuple] = {}
+
+    def summary(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
+        """Numbers of A tokens, B tokens and groups, the groups as text, and the id pair of each link."""
+        if not text:
+            return self._whole("")
+        stretches = _STRETCH.findall(" " + text)
+        if not self.b.apart or SPACE_MARK in text or not self._learn(stretches):
+            return self._whole(text)
+        found = [self.known[s] for s in stretches]
+        for long in [s for s in stretches if len(s) > CACHED_CHARS]:
+            self.known.pop(long, None)
+        n_a, n_b, n_groups = (sum([f[i] for f in found]) for i in range(3))
+        pairs = np.frombuffer(b"".join([f[4] for f in found]), dtype="<i8")
+        return n_a, n_b, n_groups, ";".join([f[3] for f in found]), pairs
+
+    def _whole(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
+        ids_a, ids_b = self.encode(text)
+        cut_a, cut_b, ends_a, ends_b = self.cuts(ids_a, ids_b)
+        left, right, _ = self.links(ends_a, ends_b)
+        return len(ids_a), len(ids_b), len(cut_a), self.spelled(ids_a, ids_b, cut_a, cut_b), ids_a[left] * self.size_b + ids_b[right]
+
+    def _learn(self, stretches: list[str]) -> bool:
+        """Align what is not known yet, all of it as one text; False if B does not spell it."""
+        if len(self.known) > CACHED_STRETCHES:
+            self.known.clear()
+        new = list({s for s in stretches if s not in self.known})
+        if not new:
+            return True
+        new.sort(key=lambda s: s[-1].isspace())  # only the last stretch of a text can end with white space
+        ids_a, ids_b = self.encode("".join(new)[1:])
+        if not len(ids_a):
+            return False
+        cut_a, cut_b, ends_a, ends_b = self.cuts(ids_a, ids_b)
+        left, right, steps = self.links(ends_a, ends_b)
+        groups = self.spelled(ids_a, ids_b, cut_a, cut_b).split(";")
+        pairs = (ids_a[left] * self.size_b + ids_b[right]).astype("<i8").tobytes()
+        to_a, to_b = np.array([0, *cut_a]), np.array([0, *cut_b])
+        ends = np.cumsum([len(s.encode()) for s in new])
+        to_group = [0, *(np.searchsorted(ends_a[to_a[1:] - 1], ends) + 1).tolist()]
+        to_link = [0, *(8 * (np.searchsorted(steps, ends) + 1)).tolist()]
+        n_a, n_b = np.diff(to_a[to_group]).tolist(), np.diff(to_b[to_group]).tolist()
+        for i, stretch in enumerate(new):
+            low, high = to_group[i], to_group[i + 1]
+            self.known[stretch] = (n_a[i], n_b[i], high - low, ";".join(groups[low:high]), pairs[to_link[i] : to_link[i + 1]])
+        return True
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space and text by A, of text by B; none where the bytes of either differ from space and text."""
         none = np.empty(0, dtype=np.int64)
-        if not text:
+        ids_b = self.b.encode(text) if text else None
+        if ids_b is None:
             return none, none
-        spaced = " " + text
-        ids_a = np.frombuffer(self.a.encode_leaf(spaced), dtype="<u4").astype(np.int64)
-        ids_b = np.array(self.b.encode(text), dtype=np.int64)
-        wanted = spaced.encode()
-        for ids, spelled in ((ids_a, self.a.bytes_of), (ids_b, self.b.bytes_of)):
-            if b"".join(map(spelled.__getitem__, ids.tolist())) != wanted:
-                return none, none
-        return ids_a, ids_b
+        # byte-level tokens always spell the text that they come from
+        return np.array(self.a.encode_ordinary(" " + text), dtype=np.int64), ids_b
 
     def cuts(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
         """Where the groups end in either id list, and both lists of cumulative byte ends."""
@@ -77,38 +142,32 @@ class Aligner:
         index_a = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1), strict=True))
         index_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1), strict=True))
         common = sorted(index_a.keys() & index_b.keys())
-        return [index_a[e] for e in common], [index_b[e] for e in common], ends_a, ends_b
+        return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common)), ends_a, ends_b
 
     @staticmethod
-    def links(cut_a: list[int], cut_b: list[int], ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the tokens of every link.
+    def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indexes of the tokens of every link, and the byte at which their overlap ends.
 
-        A group of one token on either side links it with all of the other side; in any other group two tokens overlap
-        once between neighbouring ends of either kind.
+        Two tokens of a group overlap exactly once between neighbouring ends of either kind. The last ends of a group are
+        equal, so the ends of all groups are gone through at once and no link leaves its group.
         """
-        start_a, start_b = np.array([0, *cut_a[:-1]], dtype=np.int64), np.array([0, *cut_b[:-1]], dtype=np.int64)
-        n_a, n_b = np.array(cut_a, dtype=np.int64) - start_a, np.array(cut_b, dtype=np.int64) - start_b
-        plain = (n_a == 1) | (n_b == 1)
-        each = np.maximum(n_a, n_b)[plain]
-        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        left = [np.repeat(start_a[plain], each) + within * np.repeat(n_a[plain] > 1, each)]
-        right = [np.repeat(start_b[plain], each) + within * np.repeat(n_b[plain] > 1, each)]
-        for g in np.flatnonzero(~plain).tolist():
-            own_a, own_b = ends_a[start_a[g] : cut_a[g]], ends_b[start_b[g] : cut_b[g]]
-            steps = np.union1d(own_a, own_b)
-            left.append(start_a[g] + np.searchsorted(own_a, steps))
-            right.append(start_b[g] + np.searchsorted(own_b, steps))
-        return np.concatenate(left), np.concatenate(right)
+        steps = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        steps = steps[np.diff(steps, prepend=0) > 0]
+        return np.searchsorted(ends_a, steps), np.searchsorted(ends_b, steps), steps
 
     def spelled(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: list[int], cut_b: list[int]) -> str:
         """The groups as text: ids of A, a bar, ids of B; groups parted by semicolons."""
-        names_a = [self.names_a[i] for i in ids_a.tolist()]
-        names_b = [self.names_b[i] for i in ids_b.tolist()]
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip(cut_a, cut_b, strict=True):
-            groups.append(",".join(names_a[from_a:to_a]) + "|" + ",".join(names_b[from_b:to_b]))
-            from_a, from_b = to_a, to_b
-        return ";".join(groups)
+        if not cut_a:
+            return ""
+        ends_a, ends_b = np.array(cut_a, dtype=np.int64), np.array(cut_b, dtype=np.int64)
+        name_a, name_b = ids_a.copy(), ids_b + 2 * self.size_a
+        name_a[ends_a - 1] += self.size_a
+        name_b[ends_b - 1] += self.size_b
+        order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        # before a token of A come the tokens of B of all groups before, before one of B those of A of its own group, too
+        order[np.arange(len(ids_a)) + np.repeat(ends_b - np.diff(ends_b, prepend=0), np.diff(ends_a, prepend=0))] = name_a
+        order[np.arange(len(ids_b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))] = name_b
+        return "".join(self.names[order].tolist())[:-1]
 
 
 GROUP = T.StructType([T.StructField("a", T.ArrayType(T.IntegerType())), T.StructField("b", T.ArrayType(T.IntegerType()))])
@@ -176,12 +235,10 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, block_bytes: int) -> Dat
                 if found and size + len(text or "") > block_bytes:
                     rows.append(total(block, found))
                     block, size, found = block + 1, 0, []
-                ids_a, ids_b = aligner.encode(text)
-                cut_a, cut_b, ends_a, ends_b = aligner.cuts(ids_a, ids_b)
-                spelled = hashlib.sha256(aligner.spelled(ids_a, ids_b, cut_a, cut_b).encode()).hexdigest() if cut_a else ""
-                left, right = aligner.links(cut_a, cut_b, ends_a, ends_b) if cut_a else (ids_a, ids_b)
-                pairs, times = np.unique(ids_a[left] * aligner.size_b + ids_b[right], return_counts=True)
-                numbers = (len(ids_a), len(ids_b), len(cut_a), len(left), spelled)
+                n_a, n_b, n_groups, spelled, links = aligner.summary(text)
+                digest = hashlib.sha256(spelled.encode()).hexdigest() if n_a else ""
+                pairs, times = np.unique(links, return_counts=True)
+                numbers = (n_a, n_b, n_groups, len(links), digest)
                 rows.append((block, doc_id, False, *numbers, pairs.astype("<i8").tobytes(), times.astype("<u4").tobytes()))
                 size += len(text or "")
                 found.append(pairs)
