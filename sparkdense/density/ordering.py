@@ -12,15 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkdense.density.bands import order_by_bands
 from sparkdense.density.grid import Grid, near_points
-from sparkdense.density.labels import NOISE, border_clusters, core_components, labels_at
+from sparkdense.density.labels import NOISE, border_clusters, core_components
 from sparkdense.density.neighbours import core_distances
-from sparkdense.density.partition import KDTree, build_kdtree, leaf_radii
+from sparkdense.density.partition import KDTree, build_kdtree
 from sparkdense.graph.components import connected_components
 from sparkdense.operators.sequence import prefix_sum
 from sparkdense.session import cut_lineage
 
-# Points, halo included, that one task orders.
+# Points, halo included, that one task orders; more are ordered in bands.
 MAX_LOCAL_POINTS = 100_000
 
 
@@ -106,14 +107,12 @@ class DensityOrdering:
     """Result of the partitioned ordering.
 
     ``copies`` has one row per point and leaf that sees it: ``id``, coordinates, ``core_dist``, ``part_id``,
-    ``is_home``, ``radius`` (the width within which the leaf was ordered), ``order_id``, ``reach_dist``.
+    ``is_home``, ``radius`` (the width of the halo), ``order_id``, ``reach_dist``.
     """
 
     copies: DataFrame
-    cores: DataFrame
     tree: KDTree
     eps: float
-    radius: float
     coords: tuple[str, ...]
 
     def boxes(self, eps: float = 0.0) -> DataFrame:
@@ -134,17 +133,12 @@ class DensityOrdering:
         Two local clusters are one when they share a core point: the home leaf of a core point sees every
         neighbour, so no link is missed. Any other point joins the cluster of the core point that reaches it at the
         least (reach, id) at this radius, measured anew: a reach recorded at a larger radius is that of another core
-        point. Where halos had to be narrower than ``radius`` the same clusters come from cells instead.
+        point.
         """
         radius = self.eps if radius is None else radius
         if radius > self.eps:
             raise ValueError(f"nothing was measured beyond eps={self.eps}")
-        if radius > self.radius:
-            exact = labels_at(self.cores, radius, self.coords).select("id", "cluster_id")
-            chosen = best_copies(self.copies.withColumn("local_cluster", F.lit(None).cast("bigint")))
-            labelled = chosen.drop("local_cluster").join(exact, "id")
-        else:
-            labelled = self._with_borders(self._merged(radius), radius)
+        labelled = self._with_borders(self._merged(radius), radius)
         is_core = F.coalesce(F.col("core_dist") <= radius, F.lit(False))
         return labelled.withColumn("is_core", is_core).select(
             "id", *self.coords, "part_id", "order_id", "reach_dist", "core_dist", "is_core", "cluster_id"
@@ -221,21 +215,30 @@ def partitioned_ordering(
 ) -> DensityOrdering:
     """Order the points leaf by leaf of a balanced KD tree, each leaf with a halo of its neighbourhood.
 
-    Core distances are measured globally first, so a leaf sees true values for its halo as well. ``partitions=None``
-    takes as many leaves as keep a leaf at an eighth of ``max_local_points``.
+    Core distances are measured globally first, so a leaf sees true values for its halo as well; the halo is always
+    ``eps`` wide. ``partitions=None`` takes as many leaves as keep a leaf at an eighth of ``max_local_points``. A leaf
+    that holds more than ``max_local_points`` with its halo is ordered in bands instead of in one task.
     """
     coords = tuple(coords)
     cores = cut_lineage(core_distances(points.select("id", *coords), min_pts, eps, coords))
     kept, members = gather_piles(cores, coords)
     kept = cut_lineage(kept)
-    leaf_points = max_local_points // 8
-    tree = build_kdtree(kept, coords, partitions, max_leaf_points=None if partitions else leaf_points)
-    if max(leaf.n for leaf in tree.leaves.values()) > leaf_points:
-        tree = build_kdtree(kept, coords, max_leaf_points=leaf_points)
-    radii = leaf_radii(tree, eps, max_local_points)
-    ordered = order_groups(tree.with_halo(kept, radii), "part_id", coords)
+    tree = build_kdtree(kept, coords, partitions, max_leaf_points=None if partitions else max(1, max_local_points // 8))
+    copies = cut_lineage(tree.with_halo(kept, dict.fromkeys(tree.leaves, float(eps))))
+    ordered = order_any_size(copies, "part_id", coords, float(eps), max_local_points)
     copies = cut_lineage(spread_piles(ordered, members).drop("weight"))
-    return DensityOrdering(copies, cores, tree, float(eps), min(radii.values()), coords)
+    return DensityOrdering(copies, tree, float(eps), coords)
+
+
+def order_any_size(points: DataFrame, group: str, coords: Sequence[str], eps: float, max_points: int) -> DataFrame:
+    """The ordering of each group: in one task up to ``max_points`` rows, else in bands of reach, with the same result."""
+    sizes = points.groupBy(group).agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > max_points).select(group))
+    if large.isEmpty():
+        return order_groups(points, group, coords)
+    small = order_groups(points.join(large, group, "left_anti"), group, coords)
+    in_bands = order_by_bands(points.join(large, group, "left_semi"), group, coords, eps, max_points)
+    return small.unionByName(in_bands.select(*small.columns))
 
 
 def exact_ordering(
@@ -250,8 +253,8 @@ def exact_ordering(
     Components of core points within ``eps`` do not influence each other, so each is ordered on its own and they
     follow each other by their least core id, as one run over all points would have it. A border point is ordered
     with the first component that reaches it; its ``cluster_id`` is that of the core point that reaches it at the least
-    (reach, id), as in ``density_labels``. Components above ``max_component_points`` are ordered leaf by leaf and their
-    leaves follow each other.
+    (reach, id), as in ``density_labels``. Components above ``max_component_points`` are ordered in bands of reach
+    instead of in one task, with the same result.
     """
     coords = tuple(coords)
     grid = Grid(coords, float(eps))
@@ -264,13 +267,8 @@ def exact_ordering(
     clustered = clusters.select("id", "cluster_id").unionByName(border)
     kept, members = gather_piles(cores, coords)
     placed = cut_lineage(kept.join(clustered, "id", "left"))
-    sizes = cut_lineage(placed.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n")))
-    large = sizes.where(F.col("n") > max_component_points).select("cluster_id")
     inside = placed.where("cluster_id is not null").withColumn("radius", F.lit(float(eps)))
-    ordered = order_groups(inside.join(large, "cluster_id", "left_anti"), "cluster_id", coords)
-    if not large.isEmpty():
-        ordered = ordered.unionByName(_by_leaf(inside.join(large, "cluster_id"), eps, coords, max_component_points))
-    ordered = cut_lineage(ordered)
+    ordered = cut_lineage(order_any_size(inside, "cluster_id", coords, float(eps), max_component_points))
     lengths = ordered.groupBy("cluster_id").agg(F.sum("weight").alias("w"))
     ends = prefix_sum(lengths, "cluster_id", "w", "end")
     shifted = ordered.join(ends, "cluster_id").withColumn("order_id", F.col("order_id") + F.col("end") - F.col("w"))
@@ -285,25 +283,6 @@ def exact_ordering(
     return spread_piles(placed, members)
 
 
-def _by_leaf(inside: DataFrame, eps: float, coords: tuple[str, ...], max_local_points: int) -> DataFrame:
-    """Order components that are too large for one task leaf by leaf, and put the leaves one after the other."""
-    tree = build_kdtree(inside, coords, max_leaf_points=max(1, max_local_points // 8))
-    radii = leaf_radii(tree, eps, max_local_points)
-    copies = tree.with_halo(inside.drop("radius"), radii)
-    group = F.struct("cluster_id", "part_id")
-    local = order_groups(copies.withColumn("_group", F.to_json(group)), "_group", coords).where("is_home").drop("_group")
-    # Halo copies took places of their own: close the gaps inside each leaf, then put leaf after leaf.
-    weight = F.when(F.col("order_id").isNotNull(), F.col("weight"))
-    earlier = Window.partitionBy("cluster_id", "part_id").orderBy(F.asc_nulls_last("order_id"))
-    place = F.coalesce(F.sum(weight).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = cut_lineage(local.withColumn("order_id", F.when(F.col("order_id").isNotNull(), place)))
-    ends = local.groupBy("cluster_id", "part_id").agg(F.coalesce(F.sum(weight), F.lit(0)).alias("w"))
-    before = Window.partitionBy("cluster_id").orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.withColumn("start", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
-    moved = local.join(starts, ["cluster_id", "part_id"]).withColumn("order_id", F.col("order_id") + F.col("start"))
-    return moved.select(*inside.columns, "order_id", "reach_dist")
-
-
 def reachability_series(ordered: DataFrame, cap: float) -> DataFrame:
     """The plotted series: smaller of reach and core distance, undefined or larger values shown as ``cap``."""
     height = F.least(F.coalesce(F.least("reach_dist", "core_dist"), F.lit(cap)), F.lit(cap))

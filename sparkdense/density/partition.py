@@ -228,31 +228,6 @@ def _level_splits(cached, tree, todo, next_label, limit, split_method, max_leaf_
     return splits
 
 
-def leaf_radii(tree: KDTree, eps: float, max_local_points: int | None) -> dict[int, float]:
-    """The halo width of each leaf: ``eps``, halved until leaf and halo together stay within the limit.
-
-    Works on the leaf boxes alone; a box that the halo touches counts with all its points.
-    """
-    parts = sorted(tree.leaves)
-    if max_local_points is None:
-        return dict.fromkeys(parts, float(eps))
-    lower = np.array([tree.leaves[p].lower for p in parts])
-    upper = np.array([tree.leaves[p].upper for p in parts])
-    sizes = np.array([tree.leaves[p].n for p in parts])
-    radii = {}
-    for i, part in enumerate(parts):
-        radius = float(eps)
-        for _ in range(30):
-            touched = ((lower <= upper[i] + radius) & (upper >= lower[i] - radius)).all(axis=1)
-            if sizes[touched].sum() <= max_local_points:
-                break
-            radius /= 2
-        else:
-            radius = 0.0
-        radii[part] = radius
-    return radii
-
-
 def box_range_join(
     points: DataFrame, boxes: DataFrame, coords: Sequence[str], eps: float, max_broadcast: int = 1000
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session factory, shared-storage checkpoints and size-checked broadcasts."""
+"""Session factory, tables in the shared folder and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -58,11 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and continue from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and continue from there.
+
+    A checkpoint would keep the size that was estimated for its plan. Joins multiply such estimates, so in a loop they
+    grow to numbers of thousands of digits, which took the planner longer than the work itself. A table has its true size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

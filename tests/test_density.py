@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkdense.density import bands as bands_module
 from sparkdense.density import grid as grid_module
 from sparkdense.density import ordering as ordering_module
 from sparkdense.density.labels import density_labels, labels_at
@@ -17,7 +19,7 @@ from sparkdense.density.ordering import (
     partitioned_ordering,
     reachability_series,
 )
-from sparkdense.density.partition import box_range_join, build_kdtree, leaf_radii
+from sparkdense.density.partition import box_range_join, build_kdtree
 from tests import brute
 
 TEN = [(8, 16, 16), (0, 16, 13), (2, 16, 24), (4, 17, 22), (6, 19, 13),
@@ -128,17 +130,48 @@ def test_exact_ordering_with_piles(spark):
     assert reach[0] == reach[1]
 
 
-def test_large_components_go_leaf_by_leaf(spark):
-    ids, xy = blobs(11, n=300)
-    rows = exact_ordering(frame(spark, ids, xy), 4, 3.0, max_component_points=40).collect()
-    expected = {i for i, _ in brute.ordering(ids, xy, 4, 3.0)}
-    assert {r["id"] for r in rows if r["order_id"] is not None} >= {
-        i for i, c in zip(ids, brute.core_distances(xy, 4, 3.0)) if not math.isnan(c)
-    }
-    assert {r["id"] for r in rows if r["order_id"] is not None} <= expected
-    assert len(rows) == len(ids)
-    places = [r["order_id"] for r in rows if r["order_id"] is not None]
-    assert len(set(places)) == len(places)
+@pytest.mark.parametrize("limit", [30, 100, 100_000])
+@pytest.mark.parametrize("ties", [False, True])
+def test_the_size_limit_changes_nothing(spark, monkeypatch, limit, ties):
+    monkeypatch.setattr(bands_module, "LINKS_PER_POINT", 4)
+    ids, xy = blobs(11, n=200)
+    xy = np.round(xy * 2) / 2 + np.arange(len(xy))[:, None] % 3 * 0.125 if ties else xy
+    ordered = exact_ordering(frame(spark, ids, xy), 4, 3.0, max_component_points=limit)
+    found = [(r["id"], r["reach_dist"]) for r in ordered.where("order_id is not null").orderBy("order_id", "id").collect()]
+    assert found == brute.ordering(ids, xy, 4, 3.0)
+    assert ordered.count() == len(ids)
+
+
+def test_bands_give_what_one_task_gives(spark, monkeypatch):
+    """Several groups with points that are no core, piles' weights and shared borders, in many bands."""
+    monkeypatch.setattr(bands_module, "LINKS_PER_POINT", 1)
+    ids, xy = blobs(21, n=160)
+    core = brute.core_distances(xy, 5, 2.5)
+    rows = [(g, int(i), *map(float, p), None if math.isnan(c) else float(c), 1 + int(i) % 3, 2.5) for g in (3, 7) for i, p, c in zip(ids, xy, core)]
+    points = spark.createDataFrame(rows, "g int, id long, x double, y double, core_dist double, weight long, radius double")
+    points = points.where("g = 3 OR id % 4 > 0")  # the second group lacks points that the core distances were measured with
+    columns = ["g", "id", "order_id", "reach_dist"]
+    want = ordering_module.order_groups(points, "g", ("x", "y")).select(*columns)
+    found = bands_module.order_by_bands(points, "g", ("x", "y"), 2.5, 150).select(*columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("limit", [60, 100_000])
+def test_partitioned_ordering_of_any_size(spark, limit):
+    """Each leaf with its whole halo is ordered as the plain model orders these points, whatever a task may hold."""
+    ids, xy = blobs(22, n=160)
+    core = dict(zip(ids, brute.core_distances(xy, 4, 2.0)))
+    ordering = partitioned_ordering(frame(spark, ids, xy), 4, 2.0, partitions=2, max_local_points=limit)
+    assert len(ordering.tree.leaves) == 2
+    copies = ordering.copies.toPandas()
+    assert (copies["radius"] == 2.0).all()
+    for _, leaf in copies.groupby("part_id"):
+        plain = leaf.drop(columns=["order_id", "reach_dist"]).assign(weight=1, core_dist=[core[i] for i in leaf["id"]])
+        want = ordering_module.order_group(plain, ("x", "y")).set_index("id")
+        for r in leaf.itertuples():
+            place, reach = want.loc[r.id, "order_id"], want.loc[r.id, "reach_dist"]
+            assert (pd.isna(place) and pd.isna(r.order_id)) or place == r.order_id
+            assert (pd.isna(reach) and pd.isna(r.reach_dist)) or reach == r.reach_dist
 
 
 @pytest.mark.parametrize(("partitions", "pile"), [(1, 0), (2, 80), (8, 80)])
@@ -157,15 +190,11 @@ def test_partitioned_labels_do_not_depend_on_partitions(spark, partitions, pile)
         ordering.labels(2.5)
 
 
-def test_leaves_too_crowded_for_the_halo(spark):
+def test_labels_of_leaves_beyond_one_task(spark):
     ids, xy = blobs(13, pile=150)
-    ordering = partitioned_ordering(frame(spark, ids, xy), 4, 3.0, partitions=None, max_local_points=160)
-    assert ordering.radius < 3.0
-    expected = brute.labels(ids, xy, 4, 3.0)
-    found = {r["id"]: r["cluster_id"] for r in ordering.labels().collect()}
-    assert found == expected
-    sizes = ordering.copies.where("core_dist is null or core_dist > 0").groupBy("part_id").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 160
+    ordering = partitioned_ordering(frame(spark, ids, xy), 4, 3.0, partitions=3, max_local_points=90)
+    assert len(ordering.tree.leaves) == 3
+    assert {r["id"]: r["cluster_id"] for r in ordering.labels().collect()} == brute.labels(ids, xy, 4, 3.0)
 
 
 def test_extraction_and_series(spark):
@@ -237,13 +266,6 @@ def test_halo_matches_the_boxes(spark):
     assert copies == expected
 
 
-def test_leaf_radii_shrink_until_the_halo_fits(spark):
-    ids, xy = blobs(18)
-    tree = build_kdtree(frame(spark, ids, xy), max_partitions=8)
-    assert set(leaf_radii(tree, 5.0, None).values()) == {5.0}
-    assert min(leaf_radii(tree, 50.0, 200).values()) < 50.0
-
-
 def test_box_join_both_ways(spark):
     ids, xy = blobs(19)
     points = frame(spark, ids, xy)
