@@ -57,9 +57,8 @@ def op3_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_of(F.col("doc_id")) % 3 == 1
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.where(~held_out).join(labels.where(~held_out), "doc_id")
-    found = toxicity.score(docs, toxicity.learn(docs, labelled))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

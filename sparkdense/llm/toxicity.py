@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkdense.llm.common import append_columns, plain_text
+from sparkdense.llm.common import append_columns, plain_text, stored
+from sparkdense.session import broadcast_if_small
 
 # The alphabet of the character model: word end, the letters of its languages, anything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœßùúûüýÿ"
@@ -267,24 +268,36 @@ class _WordWeights(dict):
         return sorted(chain.from_iterable(map(self.__getitem__, tokens(text))), reverse=True)[:3]
 
 
-def learn(docs: DataFrame, labelled: DataFrame, labelled_documents: int = LABELLED_DOCUMENTS) -> ToxicityModel:
-    """The character model from all ``docs``, the weights from ``labelled`` (text, toxic).
+def labelled_sample(docs: DataFrame, labels: DataFrame, labelled_documents: int) -> DataFrame:
+    """(text, toxic) of at most about ``labelled_documents`` distinct texts of each label, chosen by hash; a stored table.
+
+    Only ids and hashes of the documents meet the labels; the texts of those chosen, a bounded number, are fetched after
+    that. The sample is empty unless there are labels of both kinds.
+    """
+    digest = F.xxhash64(plain_text())
+    known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = stored(docs.select("doc_id", digest.alias("h")).join(known, "doc_id"), "labelled")
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    cut = F.lit(None).cast("long")
+    for label, n in sizes.items() if len(sizes) == 2 else ():
+        bound = min(2**63 - 1, int(-(2**63) + min(1.0, labelled_documents / max(1, n)) * 2**64))
+        cut = F.when(F.col("toxic") == label, F.lit(bound)).otherwise(cut)
+    chosen = broadcast_if_small(stored(rows.where(F.col("h") <= cut).dropDuplicates(["h", "toxic"]), "chosen"))
+    texts = docs.select("doc_id", digest.alias("h"), plain_text().alias("text")).join(chosen, ["doc_id", "h"])
+    return stored(texts.select("text", "toxic", "h").dropDuplicates(["h", "toxic"]), "sample")
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled_documents: int = LABELLED_DOCUMENTS) -> ToxicityModel:
+    """The character model from all ``docs``, the weights from those with a row in ``labels`` (doc_id, toxic).
 
     Labels come from a bounded sample: at most about ``labelled_documents`` documents of each label, chosen by hash.
     A term gets a weight when it occurs in LEAST_DOCUMENTS toxic documents or more and its smoothed log ratio of
     document frequencies is at least LEAST_WEIGHT. Without labels of both kinds every score is one half.
     """
     logp = log_probabilities(character_counts(docs))
-    rows = labelled.where("toxic IN (0, 1)").select(plain_text().alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if set(sizes) != {0, 1}:
+    sample = labelled_sample(docs, labels, labelled_documents)
+    if sample.isEmpty():
         return ToxicityModel(logp, {}, (0.0, 0.0, 0.0))
-    cut = F.lit(None).cast("long")
-    for label, n in sizes.items():
-        bound = min(2**63 - 1, int(-(2**63) + min(1.0, labelled_documents / max(1, n)) * 2**64))
-        cut = F.when(F.col("toxic") == label, F.lit(bound)).otherwise(cut)
-    sample = rows.where(F.col("h") <= cut).dropDuplicates(["h", "toxic"])
     counted, n = _term_counts(sample, logp)
     kept = counted.where((F.col("bad") >= LEAST_DOCUMENTS) & (F.col("bad") / n[1] > math.exp(LEAST_WEIGHT) * F.col("good") / n[0]))
     weights = {}

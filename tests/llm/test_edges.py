@@ -37,7 +37,7 @@ def odd_documents(spark):
 def run_all(docs):
     """Every operator on documents, as (name, result with one row for each document)."""
     dictionaries = language_id.learn_dictionaries(docs)
-    model = toxicity.learn(docs, docs.select("text", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    model = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
     return {
         "language_id": language_id.identify(docs, dictionaries),
         "pii": pii.detect(docs, pii.learn(docs), with_redacted=True),
