@@ -100,61 +100,56 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("first", "second", F.round("pmi", 6).alias("pmi"))
 
 
-COORDS = ["x", "y", "z"]
+# All coordinates of an embedding.
+COORDS = [f"v{i}" for i in range(64)]
+VECTORS_SQL = "p AS (SELECT vec_id AS id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(COORDS)) + " FROM embeddings)"
+FIRST_CENTRES_SQL = f"""SELECT row_number() OVER (ORDER BY md5(id::VARCHAR || ':1'), id) - 1 AS i, {", ".join(COORDS)} FROM p
+                  QUALIFY i < 3"""
+SQUARES_SQL = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in COORDS)
 
 
-def points3(spark: SparkSession, sf: str) -> DataFrame:
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
     embeddings = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return unpack(embeddings, "embedding", COORDS).drop("embedding")
 
 
 @query(
     "km_assign",
-    """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z
-                  FROM embeddings),
-            c AS (SELECT row_number() OVER (ORDER BY md5(id::VARCHAR || ':1'), id) - 1 AS i, x, y, z FROM p
-                  QUALIFY i < 3)
+    f"""WITH {VECTORS_SQL}, c AS ({FIRST_CENTRES_SQL})
        SELECT id, i::INTEGER AS centre FROM (
-         SELECT p.id, c.i, row_number() OVER (PARTITION BY p.id ORDER BY
-                  0 + (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z), c.i) AS rn
+         SELECT p.id, c.i, row_number() OVER (PARTITION BY p.id ORDER BY 0 + {SQUARES_SQL}, c.i) AS rn
          FROM p, c) WHERE rn = 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    points = points3(spark, sf)
+    points = vectors(spark, sf)
     return points.select("id", nearest_centre(COORDS, initial_centres(points, COORDS, 3)).alias("centre"))
 
 
 def km_rounds_sql(rounds: int) -> str:
-    parts = [
-        """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z
-                      FROM embeddings),
-                c0 AS (SELECT row_number() OVER (ORDER BY md5(id::VARCHAR || ':1'), id) - 1 AS i, x, y, z FROM p
-                       QUALIFY i < 3)"""
-    ]
+    parts = [f"WITH {VECTORS_SQL}, c0 AS ({FIRST_CENTRES_SQL})"]
+    means = ", ".join(f"avg({c}) AS {c}" for c in COORDS)
     for r in range(rounds):
         parts.append(
-            f""", a{r} AS (SELECT * FROM (SELECT p.*, c.i, row_number() OVER (PARTITION BY p.id ORDER BY (p.x - c.x) ** 2
-                    + (p.y - c.y) ** 2 + (p.z - c.z) ** 2, c.i) AS rn FROM p, c{r} c) WHERE rn = 1),
-                  c{r + 1} AS (SELECT i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM a{r} GROUP BY i)"""
+            f""", a{r} AS (SELECT * FROM (SELECT p.*, c.i, row_number() OVER (PARTITION BY p.id ORDER BY 0 + {SQUARES_SQL}, c.i) AS rn
+                                          FROM p, c{r} c) WHERE rn = 1),
+                  c{r + 1} AS (SELECT i, {means} FROM a{r} GROUP BY i)"""
         )
-    parts.append(
-        f" SELECT i::INTEGER AS centre, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM c{rounds}"
-    )
+    parts.append(f" SELECT i::INTEGER AS centre, {', '.join(f'round({c}, 6) AS {c}' for c in COORDS)} FROM c{rounds}")
     return "".join(parts)
 
 
 @query("km_centres", km_rounds_sql(8))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    points = points3(spark, sf)
+    points = vectors(spark, sf)
     # Eight rounds exactly: a negative tolerance never stops early.
     fitted = fit_centres(points, COORDS, initial_centres(points, COORDS, 3), tolerance=-1.0, max_rounds=8)
     rows = [(i, *(round(v, 6) for v in centre)) for i, centre in enumerate(fitted)]
-    return spark.createDataFrame(rows, "centre int, x double, y double, z double")
+    return spark.createDataFrame(rows, "centre int, " + ", ".join(f"{c} double" for c in COORDS))
 
 
 @query("km_converged")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    points = points3(spark, sf)
+    points = vectors(spark, sf)
     fitted = fit_centres(points, COORDS, initial_centres(points, COORDS, 3), tolerance=0.01)
     assigned = points.select(*COORDS, nearest_centre(COORDS, fitted).alias("centre"))
     return assigned.groupBy("centre").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in COORDS])

@@ -156,15 +156,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "src_parse_vectors",
-    "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings",
+    "SELECT vec_id AS id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(64)) + " FROM embeddings",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "vectors")
-    embeddings = table(spark, sf, "embeddings")
-    numbers = F.array(*[F.get("embedding", F.lit(i)).cast("double").cast("string") for i in range(2)])
-    embeddings.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(numbers, " "))).write.text(path)
+    numbers = F.transform("embedding", lambda v: v.cast("double").cast("string"))
+    lines = F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(numbers, " "))
+    table(spark, sf, "embeddings").select(lines).write.text(path)
     parsed = S.read_lines(spark, path).select(S.vector_of_line("value").alias("v"))
-    return parsed.select(F.col("v")[0].cast("bigint").alias("id"), F.col("v")[1].alias("x"), F.col("v")[2].alias("y"))
+    return parsed.select(F.col("v")[0].cast("bigint").alias("id"), *[F.col("v")[i + 1].alias(f"v{i}") for i in range(64)])
 
 
 @query("sink_csv_roundtrip", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
