@@ -156,11 +156,10 @@ def _links(texts, words, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
         sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
     least = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    least[a] = min(least[a], least[b])
+        for a, b in linked:
+            least[a] = min(least[a], least[b])
     return sets, least
 
 
@@ -180,6 +179,45 @@ def test_near_copies_against_brute_force(spark, words):
     assert found == {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
 
 
+def _edited_copies(number, seed):
+    """Copies of one text, each with 0 to 6 words of its own; the least doc_id is too far from most others."""
+    random.seed(seed)
+    base = ["w%d" % i for i in range(100)]
+    texts = []
+    for i in range(number):
+        own = list(base)
+        for k in random.sample(range(100), 6 if i == 0 else i % 7):
+            own[k] = f"own{i}x{k}"
+        texts.append((i, " ".join(own)))
+    return texts
+
+
+@pytest.mark.parametrize("members", [16, 128])
+def test_large_group_hands_on_links_only(spark, monkeypatch, members):
+    texts = _edited_copies(210, 5)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tested, confirmed = [], minhash._confirmed
+
+    def spy(pairs, *rest):
+        tested.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", spy)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+    _, least = _links(texts, 2, 80)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()}
+    assert found == least
+    assert sum(tested) < 210 * 209 / 8
+
+
+def test_all_texts_of_a_doc_id_are_linked(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "something else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_estimate_from_low_bits():
     random.seed(8)
     both = [np.array(random.sample(range(1 << 40), 900), dtype=np.uint64) for _ in range(2)]
