@@ -12,6 +12,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkdense.operators.sequence import prefix_sum
+from sparkdense.session import cut_lineage
+
 # Inspection outcomes and the labels they stand for; other outcomes have no label.
 OUTCOMES = {"Fail": 0, "Pass": 1, "Pass w/ Conditions": 1}
 
@@ -88,6 +91,25 @@ def area_under_roc(predictions: DataFrame) -> float:
     return BinaryClassificationEvaluator().evaluate(predictions)
 
 
+def rank_area(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row: n_positive, n_negative, twice_wins and area, the exact area under the ROC curve.
+
+    The area is the share of pairs of a positive (label 1) and a negative row (label 0) in which the positive one has
+    the higher score; a tie is half a win. Rows are counted for each score first, then negatives below it come from
+    sums of blocks of scores, so neither pairs nor a window over all rows arise. Rows without a score (null, NaN) or
+    with another label do not count; the area is NULL when a class is missing.
+    """
+    known = df.select(F.col(score).cast("double").alias("s"), F.col(label).alias("l")).where("s IS NOT NULL AND NOT isnan(s) AND l IN (0, 1)")
+    counts = cut_lineage(known.groupBy("s").agg(F.count_if(F.col("l") == 1).alias("pos"), F.count_if(F.col("l") == 0).alias("neg")))
+    wide = "decimal(19,0)"
+    twice_below = 2 * F.col("up_to") - F.col("neg")
+    wins = F.coalesce(F.sum(F.col("pos").cast(wide) * twice_below.cast(wide)), F.lit(0)).alias("twice_wins")
+    positive, negative = (F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("pos", "n_positive"), ("neg", "n_negative")))
+    out = prefix_sum(counts, "s", "neg", "up_to").agg(positive, negative, wins)
+    pairs = 2.0 * F.col("n_positive").cast("double") * F.col("n_negative").cast("double")
+    return out.withColumn("area", F.when(pairs > 0, F.col("twice_wins").cast("double") / pairs))
+
+
 def cross_validate(
     df: DataFrame,
     pipeline: Pipeline,

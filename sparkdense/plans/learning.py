@@ -105,3 +105,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     training, test = M.split_rows(labelled(spark, sf), "id", 0.8)
     model = M.cross_validate(training, M.linear_pipeline(reg_param=0.01), (10, 100, 1000), (0.1, 0.01))
     return M.accuracy(model.transform(test.withColumn("fold", F.lit(0))))
+
+
+@query(
+    "ml_rank_area",
+    "WITH l AS (" + LABELLED_SQL + """), p AS (SELECT length(text) AS s FROM l WHERE label = 1), n AS (SELECT length(text) AS s FROM l WHERE label = 0)
+       SELECT n_positive, n_negative, twice_wins::BIGINT AS twice_wins, twice_wins / (2.0::DOUBLE * n_positive * n_negative) AS area
+       FROM (SELECT sum((p.s > n.s)::INT + (p.s >= n.s)::INT) AS twice_wins FROM p, n),
+            (SELECT count(*) AS n_positive FROM p), (SELECT count(*) AS n_negative FROM n)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the length of a text tells its quality, as area under the ROC curve."""
+    found = M.rank_area(labelled(spark, sf).select(F.length("text").alias("score"), "label"))
+    return found.withColumn("twice_wins", F.col("twice_wins").cast("bigint"))

@@ -194,3 +194,21 @@ def test_task_functions_travel_by_value():
     from pyspark import cloudpickle
 
     assert "sparkdense" in cloudpickle.list_registry_pickle_by_value()
+
+
+@pytest.mark.parametrize("values", [30, 3])
+def test_rank_area(spark, values):
+    rows = [(float(i * 7 % 31 % values), int(i * i % 5 < 2)) for i in range(90)]
+    found = M.rank_area(spark.createDataFrame(rows + [(None, 1), (float("nan"), 0), (1.0, 7)], "score double, label int")).first()
+    positive, negative = [s for s, k in rows if k == 1], [s for s, k in rows if k == 0]
+    wins = sum((p > n) + (p >= n) for p in positive for n in negative)
+    assert (found["n_positive"], found["n_negative"], found["twice_wins"]) == (len(positive), len(negative), wins)
+    assert found["area"] == pytest.approx(wins / 2 / len(positive) / len(negative))
+    vectors = spark.createDataFrame([(Vectors.dense(-s, s), float(k)) for s, k in rows], ["rawPrediction", "label"])
+    assert found["area"] == pytest.approx(M.area_under_roc(vectors))
+
+
+def test_rank_area_of_one_class(spark):
+    found = M.rank_area(spark.createDataFrame([(1.0, 1)], "score double, label int")).first()
+    assert tuple(found) == (1, 0, 0, None)
+    assert M.rank_area(spark.createDataFrame([], "score double, label int")).first()["area"] is None
