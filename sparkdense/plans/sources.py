@@ -173,3 +173,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     write_csv(orders, path)
     return S.read_csv_header(spark, path, orders.schema)
+
+
+@query(
+    "src_named_rows",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS customer,
+              TRY_CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE substr(o_orderpriority, 1, 1) END AS BIGINT) AS rank,
+              o_orderpriority AS priority FROM orders""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as rows of named values: some lack a name, and one name holds numbers in some rows and letters in others."""
+    mixed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise(F.substring("o_orderpriority", 1, 1))
+    pairs = F.create_map(F.lit("rank"), mixed, F.lit("priority"), F.col("o_orderpriority"), F.lit("unread"), F.lit("x"))
+    customer = F.create_map(F.lit("customer"), F.col("o_custkey").cast("string"))
+    named = F.when(F.col("o_orderkey") % 3 > 0, F.map_concat(pairs, customer)).otherwise(pairs)
+    records = table(spark, sf, "orders").select("o_orderkey", named.alias("fields"))
+    return S.named_rows(records, "fields", {"customer": "bigint", "rank": "bigint", "priority": "string"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,17 @@ def conforming(column: Column | str, data_type: str) -> Column:
     return F.col(column).try_cast(data_type) if isinstance(column, str) else column.try_cast(data_type)
 
 
+def named_rows(records: DataFrame, fields: Column | str, types: Mapping[str, str]) -> DataFrame:
+    """A typed table from rows of named values: ``fields`` is a map from names to values as text.
+
+    One column for each name of ``types``; NULL where a row lacks the name or its value does not conform to the type.
+    Names that are not asked for are dropped, other columns of ``records`` are kept ahead of the fields.
+    """
+    values, own = (F.col(fields), {fields}) if isinstance(fields, str) else (fields, set())
+    kept = [c for c in records.columns if c not in own and c not in types]
+    return records.select(*kept, *[conforming(F.try_element_at(values, F.lit(name)), kind).alias(name) for name, kind in types.items()])
+
+
 def delimited_field(line: Column | str, separator: str, position: int, data_type: str = "string") -> Column:
     """Field ``position`` of a delimited line, NULL when absent or not of the type."""
     return F.get(F.split(line, separator), F.lit(position)).try_cast(data_type)

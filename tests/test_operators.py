@@ -212,3 +212,11 @@ def test_rank_area_of_one_class(spark):
     found = M.rank_area(spark.createDataFrame([(1.0, 1)], "score double, label int")).first()
     assert tuple(found) == (1, 0, 0, None)
     assert M.rank_area(spark.createDataFrame([], "score double, label int")).first()["area"] is None
+
+
+def test_named_rows(spark):
+    rows = [(1, {"age": "7", "name": "ann"}), (2, {"age": "seven"}), (3, {}), (4, None), (5, {"age": None, "more": "1"})]
+    records = spark.createDataFrame(rows, "k long, fields map<string,string>")
+    found = S.named_rows(records, "fields", {"name": "string", "age": "int"})
+    assert found.columns == ["k", "name", "age"]
+    assert [tuple(r) for r in found.orderBy("k").collect()] == [(1, "ann", 7), (2, None, None), (3, None, None), (4, None, None), (5, None, None)]
