@@ -13,7 +13,8 @@ from sparkdense.llm import exact_dedup, language_id, minhash, packing, pii
 from sparkdense.llm.common import stored
 from sparkdense.llm.queries import table, tokenizer_path
 
-# SQL can express neither compression sizes nor boosted trees; tests compare with brute force instead.
+# SQL can express neither compression sizes nor boosted trees. Tests run the stages on odd rows and compare the packed
+# documents with those that the stages keep one by one; a comparison with plain Python row by row is still open.
 ORACLE_SQL = None
 
 
