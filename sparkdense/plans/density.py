@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdense.density.labels import density_labels, labels_at
+from sparkdense.density.metric import range_join, vector_core_distances, vector_counts, vector_labels
 from sparkdense.density.neighbours import core_distances, neighbour_counts
 from sparkdense.density.ordering import best_copies, exact_ordering, partitioned_ordering, reachability_series
 from sparkdense.density.partition import BOUNDARY_FACTORS, balance, box_range_join, build_kdtree, split_statistics
@@ -27,8 +28,8 @@ CORE_SQL = f"""core AS (SELECT a AS id, dist AS core_dist FROM (
   SELECT a, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM near WHERE a <> b) WHERE rn = {MIN_PTS})"""
 
 
-def labels_sql(radius: float) -> str:
-    return f"""WITH RECURSIVE {POINTS_SQL}, {NEAR_SQL}, {CORE_SQL},
+def labels_sql(radius: float, near: str = f"{POINTS_SQL}, {NEAR_SQL}, {CORE_SQL}") -> str:
+    return f"""WITH RECURSIVE {near},
 c AS (SELECT * FROM core WHERE core_dist <= {radius}),
 link AS (SELECT a, b FROM near WHERE dist <= {radius} AND a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
 r AS (SELECT id, id AS root FROM c UNION SELECT link.b, r.root FROM r JOIN link ON r.id = link.a),
@@ -323,3 +324,61 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     report = cluster_report(partitioned_ordering(points, MIN_PTS, EPS).labels(), points, cap=2 * EPS)
     write_csv(report, path)
     return read_csv_header(spark, path, report.schema).select("Pid", "Px", "Py")
+
+
+# --- vectors of any number of axes ------------------------------------------------------------------------
+
+WIDE_MIN_PTS = 2
+# Radius of the queries over the leading 8 and over all 64 axes.
+WIDE_EPS = {8: 0.2, 64: 1.12}
+PAIR_EPS = 1.05
+
+
+def wide_sql(axes: int, eps: float, core: bool = True) -> str:
+    """The points as lists of doubles, all pairs within ``eps`` and the core distances."""
+    dist = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    near = f"""pt AS (SELECT vec_id AS id, list_transform(embedding[1:{axes}], lambda e: e::DOUBLE) AS v FROM embeddings),
+pairs AS (SELECT a.id AS a, b.id AS b, {dist} AS dist FROM pt a CROSS JOIN pt b),
+near AS (SELECT * FROM pairs WHERE dist <= {eps})"""
+    ranked = CORE_SQL.replace(f"rn = {MIN_PTS}", f"rn = {WIDE_MIN_PTS}")
+    return near + (f", {ranked}" if core else "")
+
+
+def wide(spark: SparkSession, sf: str, axes: int) -> DataFrame:
+    embeddings = table(spark, sf, "embeddings")
+    return embeddings.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, axes).alias("vector"))
+
+
+@query(
+    "join_range_vectors",
+    f"WITH {wide_sql(64, PAIR_EPS, core=False)} SELECT a AS left_id, b AS right_id, dist FROM near",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = wide(spark, sf, 64)
+    return range_join(points, points, PAIR_EPS)
+
+
+def _register_wide(axes: int) -> None:
+    eps = WIDE_EPS[axes]
+
+    @query(
+        f"dens_neighbour_count_{axes}",
+        f"WITH {wide_sql(axes, eps, core=False)} SELECT a AS id, count(*) AS n_near FROM near GROUP BY a",
+    )
+    def _(spark: SparkSession, sf: str) -> DataFrame:
+        return vector_counts(wide(spark, sf, axes), eps)
+
+    @query(
+        f"dens_core_distance_{axes}",
+        f"WITH {wide_sql(axes, eps)} SELECT id, core_dist FROM pt LEFT JOIN core USING (id)",
+    )
+    def _(spark: SparkSession, sf: str) -> DataFrame:
+        return vector_core_distances(wide(spark, sf, axes), WIDE_MIN_PTS, eps)
+
+    @query(f"dens_labels_{axes}", labels_sql(eps, wide_sql(axes, eps)) + "SELECT * FROM labels")
+    def _(spark: SparkSession, sf: str) -> DataFrame:
+        return vector_labels(wide(spark, sf, axes), WIDE_MIN_PTS, eps)
+
+
+for _axes in WIDE_EPS:
+    _register_wide(_axes)
