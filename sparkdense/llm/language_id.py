@@ -2,7 +2,9 @@
 
 A text, reduced to its letters in lower case, is compressed once with each language's dictionary, in windows of a fixed
 number of characters so that a long text does not come to teach the compressor itself. The smallest total wins; the
-margin to the next gives the score, and a narrow margin rejects the text.
+margin to the next gives the score. A text is rejected when the margin, as a share of the size, is narrow, which is how
+languages that were not learned show, or when windows that clearly prefer another language hold too much of it, which
+is how mixtures show.
 """
 
 from __future__ import annotations
@@ -19,12 +21,18 @@ from sparkdense.llm.common import append_columns
 
 DICTIONARY_BYTES = 110_000
 SNIPPET_CHARS = 400
-WINDOW_CHARS = 2_000
+WINDOW_CHARS = 800
+# Texts from this length on have two windows at least, so that mixtures show.
+SPLIT_CHARS = 200
 SHORT_CHARS = 1_000
 # A second coder, which looks for longer matches, helps to tell short texts apart.
 CODERS = ((zstandard.STRATEGY_LAZY, 4), (zstandard.STRATEGY_DFAST, 5))
 BITS_PER_NAT = 24.0
-MIN_SCORE = 0.4
+# Share of the size that the winner must save against the next language.
+MIN_MARGIN = 0.045
+# A window belongs to another language when that saves this share of its size; share of a text such windows may hold.
+FOREIGN_MARGIN = 0.03
+MAX_FOREIGN = 0.2
 MAX_LANGUAGES = 200
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -66,6 +74,25 @@ def learn_dictionaries(
     return found
 
 
+def _windows(plain: str) -> list[bytes]:
+    """The whole text in windows of equal length."""
+    count = max(math.ceil(len(plain) / WINDOW_CHARS), 2 if len(plain) >= SPLIT_CHARS else 1)
+    step = math.ceil(len(plain) / count)
+    return [plain[i : i + step].encode() for i in range(0, len(plain), step)]
+
+
+def _judged(windows: list[bytes], sizes: list[list[int]]) -> tuple[int, float, float, float]:
+    """Number of the winner, score, relative margin and foreign share from the sizes of each window (one a language)."""
+    totals = [sum(column) for column in zip(*sizes, strict=True)]
+    least = min(totals)
+    best = totals.index(least)
+    evidence = sum(math.exp(-min(700.0, 8 * (s - least) / BITS_PER_NAT)) for s in totals)
+    second = min((s for i, s in enumerate(totals) if i != best), default=None)
+    margin = 1.0 if second is None else (second - least) / second
+    foreign = sum(len(w) for w, own in zip(windows, sizes, strict=True) if own[best] - min(own) > FOREIGN_MARGIN * own[best])
+    return best, 1.0 / evidence, margin, foreign / sum(map(len, windows))
+
+
 def _coder(content: bytes, strategy: int, min_match: int) -> zstandard.ZstdCompressor:
     # digested once: a digested dictionary is attached to each window instead of being read again
     kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,12 +101,15 @@ def _coder(content: bytes, strategy: int, min_match: int) -> zstandard.ZstdCompr
     return zstandard.ZstdCompressor(dict_data=kept, compression_params=settings)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` plus lang_pred, score (0 to 1) and rejected.
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, max_foreign: float = MAX_FOREIGN
+) -> DataFrame:
+    """``docs`` plus lang_pred, score (0 to 1), rejected, margin and foreign_share.
 
     ``und`` with score 0, rejected, for a null text or one without a letter, or if no language was learned. Otherwise
     the language of the smallest size (ties: the least name). The score is the winner's share when each saved byte
-    counts as evidence; below ``min_score`` the margin is narrow and the row is rejected. Whole texts are read.
+    counts as evidence. Rejected: a ``margin`` below ``min_margin``, or a ``foreign_share`` above ``max_foreign``. Where
+    only one language was learned there is nothing to compare and the margin is 1. Whole texts are read.
     """
     names = sorted(dictionaries)
     contents = [dictionaries[n] for n in names]
@@ -90,14 +120,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float =
         def one(text):
             plain = letters(text)
             if not plain or not coders:
-                return "und", 0.0, True
-            windows = [plain[i : i + WINDOW_CHARS].encode() for i in range(0, len(plain), WINDOW_CHARS)]
+                return "und", 0.0, True, 0.0, 0.0
+            windows = _windows(plain)
             used = len(CODERS) if len(plain) <= SHORT_CHARS else 1
-            sizes = [sum(len(c.compress(w)) for c in own[:used] for w in windows) for own in coders]
-            least = min(sizes)
-            evidence = sum(math.exp(-min(700.0, 8 * (s - least) / BITS_PER_NAT)) for s in sizes)
-            score = 1.0 / evidence
-            return names[sizes.index(least)], score, score < min_score
+            sizes = [[sum(len(c.compress(w)) for c in own[:used]) for own in coders] for w in windows]
+            best, score, margin, foreign = _judged(windows, sizes)
+            return names[best], score, margin < min_margin or foreign > max_foreign, margin, foreign
 
         def work(texts):
             rows = [one(t) for t in texts]
@@ -109,5 +137,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float =
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType()),
+        T.StructField("margin", T.DoubleType()),
+        T.StructField("foreign_share", T.DoubleType()),
     ]
     return append_columns(docs, fields, ["text"], make)

@@ -389,6 +389,23 @@ def test_language_on_held_out_documents(spark, sf_dir):
     assert sum(r["rejected"] for r in found) / len(found) < 0.02
 
 
+def test_mixtures_and_unlearned_languages_are_rejected(spark, sf_dir):
+    docs = queries.table(spark, sf_dir.replace("0.001", "0.01"), "documents").where("lang IS NOT NULL AND length(text) > 300")
+    taught = docs.where("doc_id % 2 = 1").select("doc_id", "text", "lang")
+    others = [r for r in docs.where("doc_id % 2 = 0").select("text", "lang").orderBy("doc_id").collect()]
+    mixed, last = [], None
+    for row in others:
+        if last is not None and last["lang"] != row["lang"]:
+            half = min(len(last["text"]), len(row["text"])) // 2
+            mixed.append((last["text"][:half] + " " + row["text"][:half],))
+        last = row
+    found = language_id.identify(spark.createDataFrame(mixed, "text string"), language_id.learn_dictionaries(taught)).collect()
+    assert len(found) > 50 and sum(r["rejected"] for r in found) / len(found) > 0.85
+    french = spark.createDataFrame([(r["text"],) for r in others if r["lang"] == "fr"], "text string")
+    found = language_id.identify(french, language_id.learn_dictionaries(taught.where("lang <> 'fr'"))).collect()
+    assert len(found) > 20 and sum(r["rejected"] for r in found) / len(found) > 0.85
+
+
 def test_language_coder_is_reused():
     coder = language_id._coder(b"the quick brown fox " * 50, *language_id.CODERS[0])
     assert len(coder.compress(b"the quick brown fox")) < len(coder.compress(b"zxqj wvk plm ghtd"))
