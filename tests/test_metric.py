@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from sparkdense.density import metric
 from sparkdense.density.labels import density_labels
 from sparkdense.density.metric import ball_tree, places_of, range_join, vector_core_distances, vector_counts, vector_labels
 from tests.test_density import blobs, frame
@@ -109,3 +110,21 @@ def test_leaves_stay_small_and_hopeless_nodes_end(spark):
     huge = [(i, [1e300 * (i % 2), float(i // 2)]) for i in range(40)]  # squares of the differences overflow
     points = spark.createDataFrame(huge, "id bigint, vector array<double>")
     assert {r["n_near"] for r in vector_counts(points, 100.0, 5).collect()} == {20}
+
+
+def test_rows_written_grow_with_places_not_with_pairs(spark, monkeypatch):
+    """Distances that hardly differ: no ball is beyond reach, yet no row for each search and leaf may arise."""
+    xs = np.random.default_rng(11).normal(size=(1000, 16))
+    xs /= np.linalg.norm(xs, axis=1)[:, None]
+    written, cut = [], metric.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(metric, "cut_lineage", counted)
+    monkeypatch.setattr(metric, "TILE_PLACES", 400)
+    got = {r["id"]: r["n_near"] for r in vector_counts(vectors(spark, range(1000), xs), 0.9, 32).collect()}
+    assert got == dict(enumerate((distances(xs) <= 0.9).sum(axis=1).tolist()))
+    assert sum(written) < 10 * len(xs)
