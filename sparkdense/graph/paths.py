@@ -12,6 +12,8 @@ from sparkdense.session import cut_lineage
 
 # Spans double every round: more rounds than this mean more elements than a 64-bit count.
 MAX_DOUBLINGS = 62
+# Elements beyond which lists are contracted before pointers are doubled.
+CONTRACT_FROM = 500_000
 
 
 def bfs_layers(graph: Graph, start: str | Column, max_layers: int | None = None) -> DataFrame:
@@ -75,14 +77,53 @@ def shortest_paths(graph: Graph, start: str | Column, target: str | Column, max_
 def list_rank(links: DataFrame, end: int = -1) -> DataFrame:
     """(id, rank): the number of links from each element to the last one of its list.
 
-    Pointer jumping: each round doubles the span of every pointer, so n elements take log2(n) rounds. Pointers
-    that reached the last element leave the working set. Elements of a broken list, which leads to no last
+    Long lists are contracted first: each round splices out about a quarter of the elements, no two of them neighbours,
+    so all rounds together move a fixed multiple of the rows. What is left is ranked by doubling, then the elements
+    come back in reverse order, each ranked by its successor. Elements of a broken list, which leads to no last
     element, have no rank and are left out; a cycle raises.
     """
-    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # d counts the links from src to dst; the last element has none, and is done from the start.
     d = F.when(F.col("dst") == end, 0).otherwise(1).cast("bigint")
     state = cut_lineage(links.select("src", "dst", d.alias("d"), (F.col("dst") == end).alias("done")))
+    left = state.count()
+    if left <= CONTRACT_FROM or not _one_link_each(state):
+        return _doubled(state)
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ends, live, spliced = state.where("done"), state.where("not done"), []
+    while True:
+        before, left = left, live.count()
+        if left <= CONTRACT_FROM or (spliced and left > 0.95 * before):  # loops do not shrink any more
+            break
+        head, tail = (F.xxhash64(F.col(c), F.lit(len(spliced))).bitwiseAND(F.lit(1)) == 1 for c in ("src", "dst"))
+        gone = cut_lineage(live.where(head & ~tail).select("src", "dst", "d"))
+        ahead = gone.select(F.col("src").alias("dst"), F.col("dst").alias("_dst"), F.col("d").alias("_d"))
+        # only an element whose successor has the coin of a spliced one can have lost it
+        kept = live.where(~head | tail)
+        moved = kept.where(tail).join(ahead, "dst", "left").select(
+            "src", F.coalesce("_dst", "dst").alias("dst"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), "done"
+        )
+        live = cut_lineage(kept.where(~tail).unionByName(moved).coalesce(tasks))
+        spliced.append(gone)
+    ranks = _doubled(cut_lineage(ends.unionByName(live)))
+    for gone in reversed(spliced):
+        found = gone.join(ranks.withColumnRenamed("id", "dst"), "dst")
+        back = found.select(F.col("src").alias("id"), (F.col("rank") + F.col("d")).alias("rank"))
+        ranks = cut_lineage(ranks.unionByName(back).coalesce(tasks))
+    return ranks
+
+
+def _one_link_each(state: DataFrame) -> bool:
+    """Whether no element has two links and no end is null, as contraction needs."""
+    counted = state.groupBy("src").agg(F.count("*").alias("n"), F.count("dst").alias("known"))
+    return counted.where("src IS NULL OR n > 1 OR known < n").isEmpty()
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Ranks by pointer jumping: each round doubles the span of every pointer, so n elements take log2(n) rounds.
+
+    Pointers that reached the last element leave the working set.
+    """
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     rounds = 0
     while not (live := state.where("not done")).isEmpty():
         rounds += 1

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sparkdense.graph import paths
 from sparkdense.graph.components import connected_components
 from sparkdense.graph.core import Graph, chains_with_label, directed_triangles, motif
 from sparkdense.graph.pagerank import pagerank
@@ -115,6 +116,32 @@ def test_list_rank(spark):
     assert dict(rows(list_rank(links))) == {v: len(order) - 1 - i for i, v in enumerate(order)}
 
 
+def test_long_lists_are_contracted(spark, monkeypatch):
+    """Several lists, a broken one and single elements: right ranks, and no row for each element and round of doubling."""
+    rng = random.Random(4)
+    ids, expected, links = rng.sample(range(10**6), 1500), {}, []
+    for start, stop in ((0, 1100), (1100, 1400), (1400, 1401)):
+        own = ids[start:stop]
+        links += [*zip(own, own[1:]), (own[-1], -1)]
+        expected |= {v: len(own) - 1 - i for i, v in enumerate(own)}
+    links += [*zip(ids[1401:], ids[1402:]), (ids[-1], 10**7)]
+    written, cut = [], paths.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "cut_lineage", counted)
+    monkeypatch.setattr(paths, "CONTRACT_FROM", 100)
+    got = rows(list_rank(spark.createDataFrame(links, "src bigint, dst bigint")))
+    assert got == sorted(expected.items())
+    assert sum(written) < 12 * len(links)
+    doubled = [(1, 2), (1, 2), (2, 3), (3, -1)]
+    monkeypatch.setattr(paths, "CONTRACT_FROM", 1)
+    assert rows(list_rank(spark.createDataFrame(doubled, "src bigint, dst bigint"))) == [(1, 2), (1, 2), (2, 1), (3, 0)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
