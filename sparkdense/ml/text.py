@@ -121,24 +121,41 @@ def cross_validate(
 ) -> CrossValidatorModel:
     """Try every pair of parameters on every fold and refit the best pair on all rows.
 
-    Folds come from a hash of the key, so they do not change between runs.
+    Folds come from a hash of the key, so they do not change between runs. Texts are split and hashed once, for all
+    sizes side by side, and every fit and evaluation reads the stored vectors.
     """
+    *before, _ = pipeline.getStages()
     stages = {type(stage): stage for stage in pipeline.getStages()}
+    hashing, regression = stages[HashingTF], stages[LogisticRegression]
+    prepared = df.withColumn("fold", bucket(key, folds, seed=1))
+    for stage in before:
+        if stage is not hashing:
+            prepared = stage.transform(prepared)
+    columns = {size: f"{hashing.getOutputCol()}_{size}" for size in num_features}
+    for size, column in columns.items():
+        prepared = hashing.copy({hashing.numFeatures: size, hashing.outputCol: column}).transform(prepared)
+    prepared = cut_lineage(prepared.select(regression.getLabelCol(), "fold", *columns.values()))
     grid = (
         ParamGridBuilder()
-        .addGrid(stages[HashingTF].numFeatures, list(num_features))
-        .addGrid(stages[LogisticRegression].regParam, list(reg_params))
+        .addGrid(regression.featuresCol, list(columns.values()))
+        .addGrid(regression.regParam, list(reg_params))
         .build()
     )
     validator = CrossValidator(
-        estimator=pipeline,
+        estimator=regression,
         estimatorParamMaps=grid,
         evaluator=BinaryClassificationEvaluator(),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
     )
-    return validator.fit(df.withColumn("fold", bucket(key, folds, seed=1)))
+    validated = validator.fit(prepared)
+    best = validated.bestModel
+    size = next(size for size, column in columns.items() if column == best.getFeaturesCol())
+    chosen = hashing.copy({hashing.numFeatures: size})
+    transformers = [chosen if stage is hashing else stage for stage in before]
+    validated.bestModel = PipelineModel([*transformers, best.setFeaturesCol(hashing.getOutputCol())])
+    return validated
 
 
 def fitted_regression(model: PipelineModel) -> LogisticRegressionModel:

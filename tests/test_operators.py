@@ -6,7 +6,9 @@ import math
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from sparkdense.operators import relational as R
 from sparkdense.operators.association import adjacent_pairs, pmi
 from sparkdense.operators.kmeans import fit_centres, nearest_centre
 from sparkdense.operators.sequence import kth_smallest, max_subarray, positions, prefix_sum, successors
-from sparkdense.session import scratch_path
+from sparkdense.session import cut_lineage, scratch_path
 from sparkdense.sources import readers as S
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -220,3 +222,28 @@ def test_named_rows(spark):
     found = S.named_rows(records, "fields", {"name": "string", "age": "int"})
     assert found.columns == ["k", "name", "age"]
     assert [tuple(r) for r in found.orderBy("k").collect()] == [(1, "ann", 7), (2, None, None), (3, None, None), (4, None, None), (5, None, None)]
+
+
+def test_pairs_split_each_text_once(spark):
+    texts = spark.createDataFrame([(" a b\tc ",), ("",), (None,), ("one",), ("x x x",)], "text string")
+    pairs = adjacent_pairs(texts, "text")
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b"), ("b", "c"), ("x", "x"), ("x", "x")]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_cross_validation_equals_one_that_splits_texts_for_every_fit(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9)) + (" good" if i % 3 else " bad"), int(i % 3 > 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    pipeline = M.linear_pipeline(max_iter=5)
+    _, hashing, regression = pipeline.getStages()
+    grid = ParamGridBuilder().addGrid(hashing.numFeatures, [4, 50]).addGrid(regression.regParam, [0.1, 0.01]).build()
+    plain = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, foldCol="fold")
+    plain = plain.fit(df.withColumn("fold", M.bucket("id", 3, seed=1)))
+    stored = []
+    monkeypatch.setattr(M, "cut_lineage", lambda table: stored.append(cut_lineage(table)) or stored[-1])
+    model = M.cross_validate(df, pipeline, (4, 50), (0.1, 0.01))
+    assert model.avgMetrics == pytest.approx(plain.avgMetrics)
+    assert M.fitted_regression(model.bestModel).coefficients.toArray() == pytest.approx(plain.bestModel.stages[-1].coefficients.toArray())
+    assert model.transform(df).select("prediction").collect() == plain.transform(df).select("prediction").collect()
+    assert len(stored) == 1 and "text" not in stored[0].columns
