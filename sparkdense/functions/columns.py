@@ -38,7 +38,7 @@ def capped(value: Column | str, cap: float) -> Column:
 
 def words(text: Column | str) -> Column:
     """Split on runs of white space; empty strings are dropped."""
-    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def characters(text: Column | str) -> Column:

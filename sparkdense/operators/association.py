@@ -11,11 +11,9 @@ from sparkdense.session import broadcast_if_small, cut_lineage
 
 def adjacent_pairs(df: DataFrame, text: str) -> DataFrame:
     """One row (first, second) per pair of neighbouring words of each text."""
-    tokens = df.select(words(text).alias("w")).where(F.size("w") >= 2)
-    followers = F.transform(
-        F.slice("w", 1, F.size("w") - 1), lambda word, i: F.struct(word.alias("first"), F.get("w", i + 1).alias("second"))
-    )
-    return tokens.select(F.explode(followers).alias("p")).select("p.first", "p.second")
+    tokens = df.select(words(text).alias("w"))  # a filter on w would be pushed below and split each text once more
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    return tokens.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n)))).toDF("first", "second")
 
 
 def pmi(pairs: DataFrame, min_count: int, top: int | None = None) -> DataFrame:
