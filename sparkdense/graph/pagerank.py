@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkdense.session import cut_lineage
 
 DAMPING = 0.85
+# Rounds that share one plan, and so one shuffle of the links. Longer plans would only multiply the planner's estimates.
+SPAN = 5
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, keep_sources: bool = False) -> DataFrame:
@@ -23,11 +25,15 @@ def pagerank(edges: DataFrame, rounds: int = 10, keep_sources: bool = False) ->
     )
     ranks = degrees.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     pages = cut_lineage(shares.select(F.explode(F.array("src", "dst")).alias("id")).distinct()) if keep_sources else None
-    for _ in range(rounds):
-        given = shares.join(ranks.withColumnRenamed("id", "src"), "src")
+    span = min(SPAN, -(-rounds // 2))
+    for i in range(1, rounds + 1):
+        # links and ranks meet by the id in a struct, which no aggregate by page has dealt out already: so both sides are
+        # plain shuffles and a hub's links can be split
+        given = shares.join(ranks, F.struct("src") == F.struct("id"))
         sums = given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
         if pages is not None:
             sums = pages.join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s"))
-        # one row per page, cut so that both sides of the next join are plain shuffles and a hub's links can be split
-        ranks = cut_lineage(sums.select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.col("s")).alias("rank")))
+        ranks = sums.select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.col("s")).alias("rank"))
+        if i % span == 0 or i == rounds:
+            ranks = cut_lineage(ranks)
     return ranks

@@ -137,22 +137,30 @@ def kth_smallest(df: DataFrame, value: str, k: int, select_rows: int = SELECT_RO
     return ranked.where(F.col("_upto") > k).agg(F.min(value).alias("value"))
 
 
-def successors(df: DataFrame, order: list[str], carry: list[str], name: str = "next") -> DataFrame:
+def successors(df: DataFrame, order: list[str], carry: list[str], name: str = "next", distinct: bool = False) -> DataFrame:
     """Add the next row under a unique composite order, as a struct of the order and carried columns.
 
     Rows are range partitioned by the full order, so a leading key that fills a third of the table is cut into
-    many blocks; the last row of a block takes the first row of the next one.
+    many blocks; the last row of a block takes the first row of the next one. ``distinct`` drops repeated rows first,
+    inside the blocks, as equal rows share one.
     """
     blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    row = F.struct(*order, *[c for c in carry if c not in order])
+    columns = [*order, *[c for c in carry if c not in order]]
+    row = F.struct(*columns)
     ranged = df.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id())
-    ranged = cut_lineage(ranged)  # range bounds are sampled: fix the block of every row before it is read twice
+    ranged = ranged.distinct() if distinct else ranged
+    # range bounds are sampled: fix the block of every row before it is read twice; sorted rows take fewer bytes
+    ranged = cut_lineage(ranged.sortWithinPartitions(*order))
     heads = ranged.groupBy("_block").agg(F.min(row).alias("_head"))
     following = heads.select("_block", F.lead("_head").over(Window.orderBy("_block")).alias("_head"))
-    within = F.lead(row).over(Window.partitionBy("_block").orderBy(*order))
+    # one window column each: a window over the struct would send every row twice
+    block = Window.partitionBy("_block").orderBy(*order)
+    coming = [F.lead(c).over(block).alias(f"_next{i}") for i, c in enumerate(columns)]
+    led = ranged.select("*", F.lead(F.lit(True)).over(block).alias("_more"), *coming)
+    within = F.when(F.col("_more"), F.struct(*[F.col(f"_next{i}").alias(c) for i, c in enumerate(columns)]))
     return (
-        ranged.withColumn(name, within)
+        led.withColumn(name, within)
         .join(broadcast_if_small(following), "_block")
         .withColumn(name, F.coalesce(name, "_head"))
-        .drop("_block", "_head")
+        .drop("_block", "_head", "_more", *[f"_next{i}" for i in range(len(columns))])
     )

@@ -28,8 +28,7 @@ RECURSIVE_SQL = "WITH RECURSIVE " + GRAPH_CTES
 
 
 def part_graph(spark: SparkSession, sf: str) -> Graph:
-    lines = table(spark, sf, "lineitem").select(*ORDER).distinct()
-    linked = successors(lines, ORDER, [])
+    linked = successors(table(spark, sf, "lineitem").select(*ORDER), ORDER, [], distinct=True)
     edges = linked.where((F.col("next.l_orderkey") == F.col("l_orderkey")) & (F.col("next.l_partkey") != F.col("l_partkey")))
     edges = edges.select(
         F.col("l_partkey").alias("src"), F.col("next.l_partkey").alias("dst"), F.col("l_returnflag").alias("relationship")

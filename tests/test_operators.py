@@ -67,6 +67,16 @@ def test_positions_and_successors(spark):
     assert nxt == {i: i + 1 if i < 59 else None for i in range(60)}
 
 
+def test_successors_of_distinct_rows(spark):
+    rows = [(None if i < 20 else 1, i % 30, None if i % 4 else "x") for i in range(60)]
+    twice = spark.createDataFrame(rows + rows, "g bigint, i bigint, s string").repartition(5)
+    found = successors(twice, ["g", "i", "s"], [], distinct=True).select("g", "i", "s", "next").collect()
+    order = sorted(set(rows), key=lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in r))
+    assert sorted(map(str, ((r[:3], r["next"] and tuple(r["next"])) for r in found))) == sorted(
+        map(str, ((a, b) for a, b in zip(order, [*order[1:], None], strict=True)))
+    )
+
+
 def test_composites_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "SIEVE_BLOCK", 7)
     found = {r[0] for r in R.composites(spark, 200).collect()}

@@ -103,3 +103,24 @@ def test_a_hub_is_split_over_tasks(spark, monkeypatch, module, run, splits):
     finally:
         for key in TINY_SKEW:
             spark.conf.unset(key)
+
+
+def test_rounds_of_pagerank_share_one_shuffle_of_the_links(spark, monkeypatch):
+    edges = spark.range(4000).select("id", F.explode(F.array(*[(F.col("id") * 7 + i * i) % 4000 for i in range(5)])).alias("dst"))
+    seen, cut = [], pagerank.cut_lineage
+
+    def watched(df):
+        df._jdf.queryExecution().toRdd().count()
+        seen.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(pagerank, "cut_lineage", watched)
+    for key, value in TINY_SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        pagerank.pagerank(edges.withColumnRenamed("id", "src"), rounds=10).count()
+        joined = [plan(df).split("Initial Plan")[0] for df in seen if "rank" in df.columns]
+        assert len(joined) == 2 and all(p.count("ReusedExchange") >= 4 for p in joined)
+    finally:
+        for key in TINY_SKEW:
+            spark.conf.unset(key)
