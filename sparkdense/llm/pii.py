@@ -4,7 +4,7 @@ Generators of high recall propose overlapping spans: the four plain formats, whe
 and disguised forms (spelled-out addresses, bracketed dots, other separators, dialling prefixes). Boosted trees score
 each span by its format and its context; thresholds calibrated for each kind on held-out candidates choose what is
 added to the plain matches, which always stay. A candidate's label comes from the span freed of its disguise; plain
-matches of the sample and a few made up here are also disguised artificially, so that there are examples of each kind.
+matches of the documents and a few made up here are also disguised artificially, so that there are examples of each kind.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdense.llm.boosting import BoostedTrees
-from sparkdense.llm.common import append_columns, plain_text
+from sparkdense.llm.common import append_columns, plain_text, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_CANDIDATES = 80_000
+# Thresholds lie on this many even steps, so that a kind's scores are that many counts at most.
+STEPS = 2**16
 PRECISION = 0.98
 LEAST_CALIBRATION = 20
 
@@ -283,23 +284,18 @@ class SpanModel:
         return out
 
 
-def learn(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_candidates: int = SAMPLE_CANDIDATES) -> SpanModel:
-    """Trees and thresholds from the candidates of at most about ``sample_documents`` documents, chosen by hash.
-
-    Of all candidates of their whole texts, the ``sample_candidates`` with the least hashes are used.
+def learn(docs: DataFrame) -> SpanModel:
+    """Trees and thresholds from all candidates of the whole texts of all documents; a text that repeats counts once.
 
     A plain match that passes its kind's check is personal data, any other candidate if ``is_personal`` says so; besides
-    there are plain matches disguised artificially, of the same documents and made up. Half of the sampled documents
-    fit the trees, the other half calibrates the thresholds on what the model would add: the least score from which on
-    the share of true candidates among those that stand in the texts is at least PRECISION.
+    there are plain matches disguised artificially, of the same documents and made up. Half of the texts (by hash)
+    fit the trees, the other half calibrates the thresholds on what the model would add: the least score, in steps of
+    1 / STEPS, from which on the share of true candidates among those that stand in the texts is at least PRECISION.
+    Equal candidates are one row with their number; histograms and counts for each score come to the driver.
     """
-    rows = docs.select(F.xxhash64(plain_text()).alias("h"), plain_text().alias("text"))
-    rows = rows.where(F.col("text").rlike("(?i)" + _GATE.pattern))
-    n = rows.count()
-    if not n:
-        return SpanModel(None, {})
-    share = min(1.0, sample_documents / n)
-    sampled = rows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).dropDuplicates(["h"])
+    spark = docs.sparkSession
+    texts = docs.select(F.xxhash64(plain_text()).alias("h"), plain_text().alias("text"))
+    texts = texts.where(F.col("text").rlike("(?i)" + _GATE.pattern))
 
     def make():
         def work(texts):
@@ -308,34 +304,56 @@ def learn(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_cand
         return work
 
     field = [T.StructField("rows", T.ArrayType(T.ArrayType(T.DoubleType())))]
-    described = append_columns(sampled, field, ["text"], make).select("h", F.explode("rows").alias("row"))
-    found = described.orderBy(F.xxhash64("h", "row"), "h", "row").limit(sample_candidates).collect()
-    rows = [(r["h"] % 2, r["row"]) for r in found]
-    rows += [(seed, row) for seed in (0, 1) for text in _made_up(seed) for row in examples(text)]
-    table = np.array([row for _, row in rows])
-    fitted = np.array([part == 0 for part, _ in rows])
-    x, natural, y = table[:, :-2], table[:, -2], table[:, -1]
-    trees = BoostedTrees().fit(x[fitted], y[fitted])
-    held = ~fitted
-    scores = trees.predict(x[held])
-    thresholds = {}
-    for i, kind in enumerate(KINDS):
-        own = x[held][:, i] == 1
-        thresholds[kind] = _threshold(scores[own], y[held][own], natural[held][own])
-    return SpanModel(trees, thresholds)
-
-
-def _threshold(scores: np.ndarray, truth: np.ndarray, natural: np.ndarray) -> float:
-    """Only natural candidates count for the precision, so that artificial ones do not make room for false ones."""
+    described = append_columns(texts, field, ["text"], make).select("h", F.posexplode("rows").alias("at", "row")).distinct()
+    alike = described.groupBy(F.pmod("h", F.lit(2)).cast("int").alias("part"), "row").agg(F.count("*").alias("n"))
+    alike = stored(alike, "pii_candidates")
+    if alike.isEmpty():  # no candidate anywhere, so there is nothing to add
+        return SpanModel(None, {})
+    made = Counter((seed, tuple(row)) for seed in (0, 1) for text in _made_up(seed) for row in examples(text))
+    alike = alike.unionByName(spark.createDataFrame([(part, [*map(float, row)], n) for (part, row), n in made.items()], alike.schema))
+    width = len(next(iter(made))[1]) - 2
+    trees = BoostedTrees().fit_cuts(alike.where("part = 0"), width)
+
+    def bin_rows():
+        def work(rows):
+            table = np.array(rows)
+            kinds = table[:, : len(KINDS)].argmax(axis=1).tolist()
+            return [kinds, trees.packed(table[:, :width]), table[:, width].tolist(), table[:, width + 1].tolist()]
+
+        return work
+
+    fields = [T.StructField("kind", T.IntegerType()), T.StructField("bins", T.BinaryType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("natural", "y")]
+    keys = ["part", *(f.name for f in fields)]
+    counted = append_columns(alike, fields, ["row"], bin_rows).groupBy(*keys).agg(F.sum("n").alias("n"))
+    counted = stored(counted, "pii_bins")
+    trees.fit_counted(counted.where("part = 0"))
+
+    def score():
+        def work(bins):
+            return [np.floor(trees.predict_packed(bins) * STEPS).astype(int).tolist()]
+
+        return work
+
+    scored = append_columns(counted.where("part = 1"), [T.StructField("step", T.IntegerType())], ["bins"], score)
+    natural = F.col("natural") * F.col("n")
+    sums = [F.sum(F.col("y") * F.col("n")), F.sum(natural), F.sum(natural * F.col("y"))]
+    found = np.array([list(r) for r in scored.groupBy("kind", "step").agg(*sums).collect()])
+    return SpanModel(trees, {kind: _threshold(found[found[:, 0] == i, 1:]) for i, kind in enumerate(KINDS)})
+
+
+def _threshold(steps: np.ndarray) -> float:
+    """From rows of a score's step and its numbers of true candidates, of natural ones and of natural true ones.
+
+    Only natural candidates count for the precision, so that artificial ones do not make room for false ones.
+    """
+    step, truth, natural, right = steps[np.argsort(-steps[:, 0])].T
     if truth.sum() < LEAST_CALIBRATION:
         return 2.0
-    order = np.argsort(-scores, kind="stable")
-    ranked = scores[order]
-    n = np.cumsum(natural[order])
-    right = np.where(n > 0, np.cumsum((truth * natural)[order]) / np.maximum(n, 1), 1.0)
-    whole = np.append(ranked[1:] != ranked[:-1], True)  # candidates of one score pass together
-    good = np.flatnonzero((right >= PRECISION) & whole)
-    return max(0.5, float(ranked[good[-1]])) if len(good) else 2.0
+    n = np.cumsum(natural)
+    share = np.where(n > 0, np.cumsum(right) / np.maximum(n, 1), 1.0)
+    good = np.flatnonzero(share >= PRECISION)
+    return max(0.5, float(step[good[-1]] / STEPS)) if len(good) else 2.0
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:

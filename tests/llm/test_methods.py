@@ -1,6 +1,7 @@
 """The methods themselves, against brute force on small inputs."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -11,8 +12,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkdense.llm import (
+    boosting,
     bpe,
     embedding_dedup,
     html_text,
@@ -325,6 +328,39 @@ def test_boosted_trees_learn():
     assert ((trees.predict(x[1000:]) > 0.5) == (y[1000:] == 1)).mean() > 0.95
 
 
+@pytest.mark.parametrize("few", [boosting.FEW_ROWS, 0])
+def test_boosted_trees_of_a_table_are_those_of_its_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(boosting, "FEW_ROWS", few)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 60, size=(3000, 3)) / 7.0
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 5)).astype(float)
+    local = BoostedTrees(rounds=4).fit(x, y)
+    rows = spark.createDataFrame([(r.tolist(), 1) for r in x], "row array<double>, n long").repartition(3)
+    spread = BoostedTrees(rounds=4).fit_cuts(rows, 3)
+    assert all(np.allclose(a, b) for a, b in zip(spread.cuts, local.cuts, strict=True))
+    counts = Counter(zip(spread.packed(x), y.tolist(), strict=True))
+    counted = spark.createDataFrame([(bytearray(b), v, n) for (b, v), n in counts.items()], "bins binary, y double, n long")
+    spread.fit_counted(counted.repartition(3))
+    for mine, theirs in zip(spread.trees, local.trees, strict=True):
+        assert all(np.allclose(a, b) for a, b in zip(mine, theirs, strict=True))
+
+
+def test_spans_are_learned_from_all_documents(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("v 300."), "id", F.lit(".3.4")).alias("text"))
+    seen = []
+
+    def watched(self, counted):
+        held = counted.sparkSession.read.parquet(os.path.dirname(counted.inputFiles()[0]))
+        seen.append(held.where("natural = 1").agg(F.sum("n")).first()[0])
+        return self
+
+    monkeypatch.setattr(BoostedTrees, "fit_counted", watched)
+    monkeypatch.setattr(BoostedTrees, "predict_packed", lambda self, bins: np.zeros(len(bins)))
+    pii.learn(docs.unionByName(docs))
+    made_up = sum(row[-2] for seed in (0, 1) for text in pii._made_up(seed) for row in pii.examples(text))
+    assert seen == [sum(row[-2] for i in range(30_000) for row in pii.examples(f"v 300.{i}.3.4")) + made_up]
+
+
 @pytest.fixture(scope="module")
 def letters_model():
     counts = np.zeros(toxicity.SYMBOLS**3)
